@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import decontam, jaccard_join, packing, substring_dedup, warc_store
+from stratum.llm import decontam, jaccard_join, lm_score, packing, substring_dedup, warc_store
 from stratum.llm.shared import new_path
 
 
@@ -40,12 +40,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE: dict[str, str] = {}
