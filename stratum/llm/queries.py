@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import decontam, jaccard_join, lm_score, packing, quality_rules, substring_dedup, warc_store
+from stratum.llm import decontam, jaccard_join, licenses, lm_score, packing, quality_rules, substring_dedup, warc_store
 from stratum.llm.shared import new_path
 
 
@@ -45,6 +45,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.get("matches", 0)
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"),
+        best["template"].cast("long").alias("template"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
+    )
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read(spark, sf_dir, "documents"))
 
@@ -56,6 +65,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_license_scan": op9_license_scan,
     "op10_lm_score": op10_lm_score,
 }
 
