@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import decontam, jaccard_join, licenses, lm_score, packing, quality_rules, substring_dedup, warc_store
+from stratum.llm import decontam, jaccard_join, licenses, lm_score, packing, pii, quality_rules, substring_dedup, warc_store
 from stratum.llm.shared import new_path
 
 
@@ -29,6 +29,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.described(warc_store.read_archive(spark, path)).drop("url")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(n(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.concat("base", "learned")).alias("spans"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -62,6 +71,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
