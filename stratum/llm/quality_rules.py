@@ -123,12 +123,11 @@ def certified_cutoffs(found: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     counts = holdout.groupBy("lang").agg(F.count("*").alias("n"), *(
         F.count_if(rejects(rule, F.lit(c))).alias(f"{rule}_{c}") for rule, (_, _, cutoffs) in RULES.items() for c in cutoffs
     ))
-    tests = sum(len(c) for _, _, c in RULES.values())
-    strata = counts.agg(F.count("*").alias("strata"))
-    counts = counts.crossJoin(F.broadcast(strata))  # one row
+    counts = materialize(counts, "strata")
+    tests = sum(len(c) for _, _, c in RULES.values()) * max(1, counts.count())
 
     def strictest(rule: str) -> Column:
-        bound = F.lit(delta / tests) / F.col("strata")
+        bound = F.lit(delta / tests)
         return F.coalesce(*(F.when(binomial_tail(F.col(f"{rule}_{c}"), F.col("n"), alpha / len(RULES)) <= bound, F.lit(c)) for c in RULES[rule][2]))
 
     return counts.select("lang", *(strictest(rule).alias(rule) for rule in RULES))

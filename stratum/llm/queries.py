@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import decontam, jaccard_join, licenses, lm_score, packing, pii, quality_rules, substring_dedup, warc_store
+from stratum.llm import decontam, jaccard_join, langid, licenses, lm_score, packing, pii, quality_rules, substring_dedup, warc_store
 from stratum.llm.shared import new_path
 
 
@@ -46,6 +46,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.of_documents(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "declared", "language", F.round("confidence", 6).alias("confidence"), "n_letters", F.col("accepted").alias("kept"))
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "text")
+    found = langid.of_pages(read(spark, sf_dir, "pages"), docs)
+    return found.select(F.col("id").alias("page_id"), "declared", "language", F.round("confidence", 6).alias("confidence"), "n_letters", F.col("accepted").alias("kept"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -73,6 +84,8 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
+    "page_language_id": page_language_id,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scan": op9_license_scan,
