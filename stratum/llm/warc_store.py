@@ -71,7 +71,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     # joined by page and digest: copies of one payload spread over all tasks
     owners = first.select(F.coalesce("owner", F.lit(-1)).alias("key"), "digest")
     payloads.withColumn("key", F.coalesce("owner", F.lit(-1))).join(owners, ["key", "digest"]).dropDuplicates(["key", "digest"]) \
-        .select("digest", F.encode("payload", "UTF-8").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+        .select("digest", F.encode("payload", "UTF-8").alias("payload")).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
