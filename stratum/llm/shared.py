@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Largest number of rows that may be sent to every executor.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that the numpy kernels work on at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
