@@ -11,10 +11,11 @@ CONFIDENCE = 0.3
 
 
 def _artifact(room: Column, kind: str, content: Column, context_room: Column, importance: float, weight: float) -> Column:
-    hall = X.artifact_hall(room, F.lit(kind), content, context_room)
-    return F.struct(
-        room.alias("room"), hall.alias("hall"), F.lit(kind).alias("drawer_type"), content.alias("content"), F.lit(importance).alias("importance"), F.lit(weight).alias("weight")
-    )
+    def made(own: Column) -> Column:  # the content is bound: the cascade reads it many times
+        hall = X.artifact_hall(room, F.lit(kind), own, context_room)
+        return F.struct(room.alias("room"), hall.alias("hall"), F.lit(kind).alias("drawer_type"), own.alias("content"), F.lit(importance).alias("importance"), F.lit(weight).alias("weight"))
+
+    return X.let(content, made)
 
 
 def memories(content: Column, least: float = CONFIDENCE) -> Column:

@@ -16,7 +16,7 @@ DRAWERS = _struct(
     drawer_type=S, source_hash=S, active=B, importance=D, emotional_weight=D, weight=D,
 )
 REVISIONS = _struct(source_file=S, source_hash=S, updated_at=T.TimestampType())
-VECTORS = _struct(drawer_id=S, embedding=T.ArrayType(T.FloatType(), False), backend=S)
+VECTORS = _struct(drawer_id=S, embedding=T.ArrayType(T.FloatType()), backend=S)
 ENTITIES = _struct(id=S, name=S, type=S, properties=S, created_at=T.TimestampType())
 TRIPLES = _struct(
     id=S, subject=S, predicate=S, object=S, valid_from=S, valid_to=S, confidence=D, source_closet=S, source_file=S, extracted_at=T.TimestampType(),
