@@ -10,7 +10,7 @@ The text is read once, into blocks of about ``block_tokens`` tokens that name th
 places in a sorted list of word hashes. Blocks ask for counts and get them back: a block's
 distinct words and bigrams go, sorted, to the part that owns their range of hashes; the part
 adds up all blocks and answers each with the totals in the order asked. So what travels is a
-hash per distinct bigram of a block and a number back, no table of counts is ever held whole
+hash per distinct bigram of a block and a number back, both compressed, no table of counts is ever held whole
 by a task or the driver, and both the parts and the blocks are of bounded size. To the driver
 come totals and, for the weights, a histogram over buckets and quarter-octave ratios.
 
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from stratum.llm import kernel
 from stratum.llm.kernel import U
-from stratum.llm.shared import longs, materialize, release, table, text_slices
+from stratum.llm.shared import longs, materialize, release, small_batches, table, text_slices
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 PART_KEYS = 4_000_000
 BUCKETS = 24
 BINS = 4  # per octave
@@ -43,17 +43,39 @@ END, BEGIN = U(0xE0D0E0D0E0D0E0D1), U(0xB0E0B0E0B0E0B0E3)
 BLOCK = "block long, n_tokens long, doc_id array<long>, n array<int>, fold array<int>, ids binary, words binary"
 
 
-def _block(number: int, docs: list[tuple]) -> pa.RecordBatch:
+def pack(x: np.ndarray) -> bytes:
+    """An array of integers, compressed plane by plane of its bytes."""
     import zstandard
 
+    size = x.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, size).T).tobytes())
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their differences."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
+
+
+def _block(number: int, docs: list[tuple]) -> pa.RecordBatch:
     tokens = np.concatenate([x[3] for x in docs])
     words, ids = np.unique(tokens, return_inverse=True)
-    packed = zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").tobytes())
     one = lambda x, kind: pa.array([x], pa.list_(kind))
     return table(
         block=pa.array([number]), n_tokens=pa.array([len(tokens)]), doc_id=one([d for x in docs for d in x[0]], pa.int64()),
         n=one(np.concatenate([x[1] for x in docs]).astype(np.int32), pa.int32()), fold=one(np.concatenate([x[2] for x in docs]).astype(np.int32), pa.int32()),
-        ids=pa.array([packed], pa.binary()), words=pa.array([words.tobytes()], pa.binary()),
+        ids=pa.array([pack(ids.astype("<u4"))], pa.binary()), words=pa.array([pack_keys(words)], pa.binary()),
     )
 
 
@@ -84,12 +106,10 @@ class Block:
     """A block as read back: ids, folds per token, its words and its distinct bigrams."""
 
     def __init__(self, row: dict):
-        import zstandard
-
         self.number, self.docs = row["block"], row["doc_id"]
         self.n, self.fold = np.array(row["n"], np.int64), np.array(row["fold"], np.int64)
-        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["ids"]), "<u4").astype(np.int64)
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.ids = unpack(row["ids"], "<u4").astype(np.int64)
+        self.words = unpack_keys(row["words"])
         self.starts = np.concatenate([[0], np.cumsum(self.n)[:-1]])
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
@@ -122,14 +142,14 @@ def edges(parts: int) -> np.ndarray:
 def _ask(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
+            for i in range(batch.num_rows):
+                block = Block(batch.slice(i, 1).to_pylist()[0])
                 out = []
                 for kind, (keys, kept, tuning) in enumerate(block.asked()):
                     cuts = [0, *np.searchsorted(keys, edges(parts)).tolist(), len(keys)]
                     for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         if b > a:
-                            out.append((kind, part, block.number, keys[a:b].tobytes(), kept[a:b].astype("<u4").tobytes(), tuning[a:b].astype("<u4").tobytes()))
+                            out.append((kind, part, block.number, pack_keys(keys[a:b]), pack(kept[a:b].astype("<u4")), pack(tuning[a:b].astype("<u4"))))
                 yield table(
                     kind=pa.array([x[0] for x in out], pa.int32()), part=pa.array([x[1] for x in out], pa.int32()), block=pa.array([x[2] for x in out], pa.int64()),
                     **{c: pa.array([x[i + 3] for x in out], pa.binary()) for i, c in enumerate(("keys", "kept", "tuning"))},
@@ -144,12 +164,11 @@ ANSWER = "block long, kind int, part int, kept binary, tuning binary, n_kept lon
 def _answer(group: pa.Table) -> pa.Table:
     """The totals of one part, to each block that asked; a row without block has the part's sums."""
     col = {c: group.column(c).combine_chunks() for c in group.column_names}
-    array = lambda c, kind: [np.frombuffer(x, kind) for x in col[c].to_pylist()]
-    lists = array("keys", np.uint64)
+    lists = [unpack_keys(x) for x in col["keys"].to_pylist()]
     _, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    totals = [np.bincount(inverse, weights=np.concatenate(array(c, "<u4")).astype(np.float64)).astype(np.int64) for c in ("kept", "tuning")]
+    totals = [np.bincount(inverse, weights=np.concatenate([unpack(x, "<u4") for x in col[c].to_pylist()]).astype(np.float64)).astype(np.int64) for c in ("kept", "tuning")]
     cuts = np.cumsum([len(x) for x in lists])[:-1]
-    back = [[x.astype("<u4").tobytes() for x in np.split(t[inverse], cuts)] for t in totals]
+    back = [[pack(x.astype("<u4")) for x in np.split(t[inverse], cuts)] for t in totals]
     kind, part, n = group.column("kind")[0].as_py(), group.column("part")[0].as_py(), len(lists)
     sums = (int(totals[0].sum()), int(totals[1].sum()), int((totals[0] > 0).sum()), int((totals[0] + totals[1] > 0).sum()))
     return pa.table({
@@ -161,7 +180,7 @@ def _answer(group: pa.Table) -> pa.Table:
 
 def _counts(answers: pa.Table) -> dict[tuple[int, str], np.ndarray]:
     rows = sorted(answers.select(["kind", "part", "kept", "tuning"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
-    return {(k, c): np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r[c], "<u4") for r in rows if r["kind"] == k)]).astype(np.int64) for k in (0, 1) for c in ("kept", "tuning")}
+    return {(k, c): np.concatenate([np.zeros(0, "<u4"), *(unpack(r[c], "<u4") for r in rows if r["kind"] == k)]).astype(np.int64) for k in (0, 1) for c in ("kept", "tuning")}
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -239,6 +258,7 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Every document with its base-10 log probability under the model (``score``) and under
     add-one unigrams (``base_score``)."""
     spark = docs.sparkSession
+    small_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), "text")
     blocks = materialize(rows.mapInArrow(_blocks(block_tokens), BLOCK), "blocks")

@@ -19,6 +19,16 @@ BROADCAST_ROWS = 200_000
 SLICE_BYTES = 1 << 18
 
 
+#: Bytes of a batch that is sent to a Python worker, unless the session has a limit of its own.
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in small batches: a worker then holds a few megabytes of them."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here,
     and a lost executor costs a reread instead of the whole computation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
