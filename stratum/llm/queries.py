@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import decontam, jaccard_join, langid, licenses, lm_score, packing, pii, quality_rules, substring_dedup, warc_store
+from stratum.llm.oracle import ORACLE  # noqa: F401
 from stratum.llm.shared import new_path
 
 
@@ -70,7 +71,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"),
-        best["template"].cast("long").alias("template"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
+        F.coalesce(best["template"].cast("long"), F.lit(-1)).alias("template"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
     )
 
 
@@ -91,5 +92,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_lm_score": op10_lm_score,
 }
-
-ORACLE: dict[str, str] = {}
