@@ -10,11 +10,14 @@ A pair of documents links when 100 * shared >= 75 * all of their distinct 5-word
 3. Multi-match prefixes: two linked sets of n shingles share at least l of their first
    n - ceil(3n/4) + l shingles in that order. Each document takes the l that makes its
    estimated cost least: longer prefixes cost rows, but demand more matches of a candidate.
+   The place of a match bounds what can follow it in both, which must suffice for the overlap.
 4. Rows of shingles that two documents have in their prefixes are kept, sorted by size. First
    each is compared with its predecessor alone, so thousands of near copies chain up with
-   as many comparisons as copies. Then all pairs of different components that have enough
+   as many comparisons as copies. Then one row of each component is compared per shingle, and
+   last all pairs of different components that have enough
    matches are compared: no link between components is missed, and no pair within one is made.
-5. Comparisons are exact, over the whole sets; links make components.
+5. A candidate must pass a bound on its common shingles from two parity bitmaps of about two
+   bits a shingle. Then comparisons are exact, over the whole sets; links make components.
 
 Shingles are compared by 64-bit hashes. Defined results: documents without words (null,
 empty or blank) have an empty set and link with nothing; a document under 5 words has its
@@ -28,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm import kernel
 from stratum.llm.components import components
 from stratum.llm.kernel import U
-from stratum.llm.shared import drop, longs, materialize, release, small, table, text_slices
+from stratum.llm.shared import drop, longs, materialize, release, small, small_batches, table, text_slices
 
 SHINGLE = 5
 PERCENT = 75
@@ -160,10 +163,10 @@ def _prefixes(k: int, percent: int, tokens, n_docs):
                     salts = np.maximum(1, top // ROWS_PER_TASK)
                 own = own[: base + matches - 1]
                 salt = (int(doc) * 0x9E3779B1 & 0x7FFFFFFF) % np.broadcast_to(salts, len(own))
-                out.append((own, np.full(len(own), doc), np.full(len(own), n), np.full(len(own), matches), salt))
+                out.append((own, *(np.full(len(own), x) for x in (doc, n, matches)), np.arange(len(own)), salt))
             if out:
-                token, doc, n, matches, salt = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield table(token=token.view(np.int64), doc_id=doc.astype(np.int64), n=n.astype(np.int32), l=matches.astype(np.int32), salt=salt.astype(np.int32))
+                token, doc, *others = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield table(token=token.view(np.int64), doc_id=doc.astype(np.int64), **{c: x.astype(np.int32) for c, x in zip(("n", "l", "pos", "salt"), others, strict=True)})
 
     return run
 
@@ -171,7 +174,7 @@ def _prefixes(k: int, percent: int, tokens, n_docs):
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by shingle, salt, size and document those with a neighbour of the same
     shingle and salt (any, of a salted shingle), and the document before each of them."""
-    names = ["token", "salt", "n", "doc_id", "l"]
+    names = ["token", "salt", "n", "doc_id", "l", "pos"]
 
     def emitted(x: dict, had: dict | None, upto: int) -> pa.RecordBatch:
         size = len(x["token"])
@@ -181,7 +184,7 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same[0] = had["token"] == x["token"][0] and had["salt"] == x["salt"][0]
         before = np.concatenate([[had["doc_id"] if had is not None else 0], x["doc_id"][:-1]])
         keep = np.flatnonzero((same[:-1] | same[1:] | (x["salt"] > 0))[:upto])
-        return table(**{c: x[c][keep] for c in ("token", "doc_id", "n", "l")}, before=pa.array(before[keep], mask=~same[:-1][keep]))
+        return table(**{c: x[c][keep] for c in ("token", "doc_id", "n", "l", "pos")}, before=pa.array(before[keep], mask=~same[:-1][keep]))
 
     held, had = None, None
     for batch in batches:
@@ -228,20 +231,88 @@ def _compare(k: int, percent: int):
     return run
 
 
+def _bitmaps(k: int):
+    """Per text the parities of how many of its shingles fall on each of 2n to 4n places (64 at least), and on each of 256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in text_slices(batches, "text"):
+            found, bits, folds = sets(data, at, k), [], np.zeros((len(at) - 1, 32), np.uint8)
+            for i, x in enumerate(found):
+                folds[i] = np.packbits((np.bincount((kernel.mix(x) & U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8))
+                places = 64 << max(0, (len(x) - 1) // 32).bit_length()
+                odd = np.bincount((kernel.mix(x) & U(places - 1)).astype(np.int64), minlength=places) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield table(doc_id=rows.column(0), n=pa.array([len(x) for x in found], pa.int64()), bits=pa.array(bits, pa.binary()), **{f"f{i}": c for i, c in enumerate(folds.view(np.int64).T)})
+
+    return run
+
+
+def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """A bound on the common elements of sets of n and m elements: where parities differ, the sets do."""
+    short, long = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    if len(long) > len(short):  # twice the places: those that differ by the highest bit fall together
+        long = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
+    return (n + m - int(np.bitwise_count(short ^ long).sum())) // 2
+
+
+def _plausible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                shared = most_shared(x, y, n, m)
+                keep.append(100 * shared >= percent * (n + m - shared))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    one, other = (bitmaps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    rows = materialize(pairs.join(one, "a"), "half").join(other, "b").select("a", "b", "bitsa", "bitsb", "na", "nb")
+    return rows.mapInArrow(_plausible(percent), "a long, b long").distinct()
+
+
 def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``pairs`` (a, b) with ``linked``; a text is sent once per pair, and once per PARTNERS pairs for a."""
-    sizes = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")), "sizes")
+    own = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("doc_id")), "own")
+    texts = materialize(texts.join(small(own), "doc_id").select("doc_id", "text"), "texts")
+    release(texts.sparkSession)
+    sizes = small(materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")), "sizes"))
     firsts = texts.join(sizes, texts.doc_id == sizes.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    salted = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    seconds = salted.join(texts, salted.b == texts.doc_id).select("a", "salt", "b", "text")
+    salted = small(materialize(pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b"), "salted"))
+    seconds = texts.join(salted, texts.doc_id == salted.b).select("a", "salt", "b", "text")
     rows = firsts.union(seconds).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     found = rows.mapInArrow(_compare(k, percent), "a long, b long, linked boolean")
     return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
+def candidates(shared: DataFrame, bitmaps: DataFrame, labels: DataFrame, percent: int, one_each: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that share enough prefix shingles and may be similar enough.
+    ``one_each``: among one row of each component per shingle, whatever the number of matches."""
+    rows = shared.join(small(labels), shared.doc_id == labels.node, "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = materialize(rows.select("token", "doc_id", "n", "l", "pos", "component"), "rows")
+    mixed = materialize(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"), "mixed")
+    rows = materialize(rows.join(mixed, "token"), "mixed-rows")
+    if one_each:
+        rows = rows.groupBy("token", "component").agg(F.min(F.struct("n", "doc_id", "l", "pos")).alias("r")).select("token", "component", "r.*")
+        rows = materialize(rows, "one-each")
+    rows = materialize(rows.join(bitmaps.drop("n", "bits"), "doc_id"), "marked-rows")
+    x, y = rows.alias("x"), rows.alias("y")
+    # what follows a shared shingle in both, and the matches before it, must suffice for the overlap that the sizes ask for
+    enough = f"{100 + percent} * (least(x.n - x.pos, y.n - y.pos) + least(x.l, y.l) - 1) >= {percent} * (x.n + y.n)"
+    apart = " + ".join(f"bit_count(x.f{i} ^ y.f{i})" for i in range(4))  # sets differ where parities do
+    enough += f" and {100 + percent} * (x.n + y.n - ({apart})) >= {2 * percent} * (x.n + y.n)"
+    ordered = "(x.n < y.n or x.n = y.n and x.doc_id < y.doc_id)"
+    met = x.join(y, F.expr(f"x.token = y.token and x.component <> y.component and {ordered} and 100 * x.n >= {percent} * y.n and {enough}"))
+    found = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("matches"), F.min(F.least("x.l", "y.l")).alias("wanted"))
+    return (found if one_each else found.where("matches >= wanted")).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     signed = materialize(every.mapInArrow(_signatures(k), "doc_id long, t long, n long, s1 long, s2 long"), "signatures")
     usable = signed.where("doc_id is not null and n > 0")
@@ -254,42 +325,49 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
 
     tokens, often = heavy_tokens(texts, k, heavy)
     sent = spark.sparkContext.broadcast(tokens), spark.sparkContext.broadcast(often)  # at most ``heavy`` entries
-    prefixes = texts.mapInArrow(_prefixes(k, percent, *sent), "token long, doc_id long, n int, l int, salt int")
+    prefixes = texts.mapInArrow(_prefixes(k, percent, *sent), "token long, doc_id long, n int, l int, pos int, salt int")
     shared = materialize(
         prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id")
-        .mapInArrow(_shared_rows, "token long, doc_id long, n int, l int, before long"),
+        .mapInArrow(_shared_rows, "token long, doc_id long, n int, l int, pos int, before long"),
         "shared",
     )
     release(spark)
     involved = materialize(shared.select("doc_id").distinct(), "involved")
-    texts = materialize(texts.join(involved, "doc_id").select("doc_id", "text"), "texts")
-    release(spark)
-
+    bitmaps = materialize(texts.join(small(involved), "doc_id").select("doc_id", "text").mapInArrow(_bitmaps(k), "doc_id long, n long, bits binary, f0 long, f1 long, f2 long, f3 long"), "bitmaps")
     chained = materialize(shared.where("before <> doc_id").select(F.col("before").alias("a"), F.col("doc_id").alias("b")).distinct(), "chained")
+    chained = materialize(plausible(chained, bitmaps, percent), "plausible")
     first = materialize(compare(chained, texts, k, percent), "first")
+    release(spark)
     same = copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = first.where("linked").select("a", "b").union(same)
     labels = components(links)
 
-    rows = shared.select("token", "doc_id", "n", "l").join(small(labels), shared.doc_id == labels.node, "left")
-    rows = materialize(rows.select("token", "doc_id", "n", "l", F.coalesce("component", "doc_id").alias("component")), "rows")
-    mixed = materialize(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token"), "mixed")
-    rows = materialize(rows.join(mixed, "token"), "mixed-rows")
-    x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, F.expr(f"x.token = y.token and x.component <> y.component and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id) and 100 * x.n >= {percent} * y.n"))
-    pairs = (
-        met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .agg(F.count("*").alias("matches"), F.min(F.least("x.l", "y.l")).alias("wanted")).where("matches >= wanted").select("a", "b")
-    )
-    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    second = materialize(compare(pairs, texts, k, percent), "second")
-    more = second.where("linked").select("a", "b")
-    labels = components(links.union(more))
+    # one row of each component for each shingle first: where components belong together, a link between them mostly
+    # shows here, and all pairs of their members need not be listed below
+    bridges = candidates(shared, bitmaps, labels, percent, one_each=True)
+    bridges = materialize(plausible(bridges.join(first, ["a", "b"], "left_anti"), bitmaps, percent), "bridges")
+    second = materialize(compare(bridges, texts, k, percent), "second")
+    links = links.union(second.where("linked").select("a", "b"))
+    labels = components(links)
+
+    seen = first.select("a", "b").union(second.select("a", "b"))
+    pairs = candidates(shared, bitmaps, labels, percent).join(seen, ["a", "b"], "left_anti")
+    pairs = materialize(plausible(materialize(pairs, "pairs"), bitmaps, percent), "plausible")
+    release(spark)
+    third = materialize(compare(pairs, texts, k, percent), "third")
+    labels = components(links.union(third.where("linked").select("a", "b")))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(small(labels), out.doc_id == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each component; rows without doc_id stay."""
+    """``docs`` with the document of smallest doc_id of each component; rows without doc_id stay,
+    and of rows that share a doc_id the one of least text."""
     found = similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(small(found), "doc_id", "left_anti")
+    left = docs.join(small(found), "doc_id", "left_anti").select(docs.columns)
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    repeated = left.join(small(again), "doc_id", "left_semi").withColumn("_place", order).where("_place = 1").select(docs.columns)
+    return left.join(small(again), "doc_id", "left_anti").select(docs.columns).union(repeated)
