@@ -19,7 +19,6 @@ def quality() -> str:
         for rule, (above, below, cutoffs) in rules.items() for c in cutoffs
     )
     p = quality_rules.ALPHA / len(rules)
-    tests = sum(len(c) for _, _, c in rules.values())
     tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r}))))"
     hit = " OR ".join(f"coalesce({above} * 1000 >= c.{rule} * {below} AND {below} > 0, false)" for rule, (above, below, _) in rules.items())
     return f"""
@@ -34,7 +33,7 @@ f AS (SELECT t.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 holdout AS (SELECT g.* FROM g JOIN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) y ON g.doc_id = y.doc_id WHERE NOT base_failed),
 grid AS ({grid}),
-good AS (SELECT lang, rule, min(cutoff) AS cutoff FROM grid WHERE {tail} <= {quality_rules.DELTA!r} / ({tests} * (SELECT count(DISTINCT lang) FROM holdout)) GROUP BY lang, rule),
+good AS (SELECT lang, rule, min(cutoff) AS cutoff FROM grid WHERE {tail} <= {quality_rules.DELTA!r} / ({len(rules)} * (SELECT count(DISTINCT lang) FROM holdout)) GROUP BY lang, rule),
 c AS (SELECT lang, {', '.join(f"min(cutoff) FILTER (rule = '{rule}') AS {rule}" for rule in rules)} FROM good GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({hit}) AS kept FROM g LEFT JOIN c ON g.lang = c.lang"""
 

@@ -5,10 +5,13 @@ line, ...) and rejects from a cutoff on. For every stratum (language), rule and
 fixed grid, the documents labelled good are counted with those that the cutoff would reject.
 A cutoff is certified if so few rejections would be improbable were the true rate above
 ``alpha`` shared out over the rules: the exact binomial tail P(X <= k; n, alpha / rules) is at
-most ``delta`` shared out over all strata, rules and cutoffs (Bonferroni). That is the exact
-upper (Clopper-Pearson) bound at that confidence lying below alpha / rules. Of the certified cutoffs
-of a rule the strictest is used; without one the rule is off in that stratum. So with
-probability 1 - delta, in all strata at once, at most alpha of good documents are rejected.
+most ``delta`` shared out over strata and rules (Bonferroni). That is the exact upper
+(Clopper-Pearson) bound at that confidence lying below alpha / rules. Along a rule's cutoffs no
+share is needed: they are tested in a fixed order from the loosest on, up to the first that
+fails, and as a stricter cutoff rejects whatever a looser one does, those that pass are the
+loosest ones. The strictest certified cutoff is used; without one the rule is off in that
+stratum. So with probability 1 - delta, in all strata at once, at most alpha of good documents
+are rejected.
 
 Words are runs without ASCII white space; three-word windows are compared by 64-bit hashes.
 Defined results: a null or empty text has no words, fails the base rules and has zero counts;
@@ -124,7 +127,7 @@ def certified_cutoffs(found: DataFrame, labels: DataFrame, alpha: float = ALPHA,
         F.count_if(rejects(rule, F.lit(c))).alias(f"{rule}_{c}") for rule, (_, _, cutoffs) in RULES.items() for c in cutoffs
     ))
     counts = materialize(counts, "strata")
-    tests = sum(len(c) for _, _, c in RULES.values()) * max(1, counts.count())
+    tests = len(RULES) * max(1, counts.count())
 
     def strictest(rule: str) -> Column:
         bound = F.lit(delta / tests)
