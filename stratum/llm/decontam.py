@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm import kernel
-from stratum.llm.shared import materialize
+from stratum.llm.shared import materialize, small_batches
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -116,6 +116,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     """One row per document: doc_id, n_words, the runs of words inside benchmark windows
     (``hit_words``), the same as character offsets of the original text (``spans``) and the
     items whose windows occur (``items``, as strings)."""
+    small_batches(docs.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))

@@ -369,5 +369,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return left
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    repeated = left.join(small(again), "doc_id", "left_semi").withColumn("_place", order).where("_place = 1").select(docs.columns)
+    repeated = left.join(small(again), "doc_id", "left_semi").withColumn("_near_place", order).where("_near_place = 1").select(docs.columns)
     return left.join(small(again), "doc_id", "left_anti").select(docs.columns).union(repeated)

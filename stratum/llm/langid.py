@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.shared import materialize, small, text_slices
+from stratum.llm.shared import materialize, small, small_batches, text_slices
 
 TRAIN_DOCS = 4096
 PLACES = 1 << 13
@@ -112,6 +112,7 @@ def _add(x: Column, y: Column) -> Column:
 def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """``rows``: id, text, declared, suffix, host. ``labelled``: key, lang, text. Returns id, t (xxhash64
     of the text), declared, language, confidence, accepted and the number of letters."""
+    small_batches(rows.sparkSession)
     model = fit(labelled)
     size = len(model.langs)
     kept = rows.select("id", F.xxhash64("text").alias("t"), "declared", "suffix", "host", "text")
@@ -180,5 +181,5 @@ def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 def accepted_only(docs: DataFrame) -> DataFrame:
     """``docs`` without those that have no confident language."""
     out = of_documents(docs).where(~F.col("accepted"))
-    out = small(materialize(out.select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct(), "rejected"))
-    return docs.join(out, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_t")), "left_anti")
+    out = small(materialize(out.select(F.col("id").alias("_lang_doc"), F.col("t").alias("_lang_t")).distinct(), "rejected"))
+    return docs.join(out, docs.doc_id.eqNullSafe(F.col("_lang_doc")) & (F.xxhash64(docs.text) == F.col("_lang_t")), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.shared import longs, materialize, table
+from stratum.llm.shared import longs, materialize, small_batches, table
 
 SIZE = 2048
 GRID = 8
@@ -205,4 +205,5 @@ def assign(pieces: DataFrame, size: int = SIZE, grid: int = GRID) -> DataFrame:
 
 def pack(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = SIZE) -> DataFrame:
     """Pieces of all documents with their sequence and offset; ``paths`` are the vocabulary's JSON and rank files."""
+    small_batches(docs.sparkSession)
     return assign(materialize(cut(docs, paths or public_paths(), size), "pieces"), size)

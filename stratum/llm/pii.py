@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.shared import materialize, small
+from stratum.llm.shared import materialize, small, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 MIN_SUPPORT, PRIOR, ACCEPT, ROUNDS = 5, 1.0, 0.8, 3
@@ -153,6 +153,7 @@ def learn(edges: DataFrame) -> DataFrame:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, t (xxhash64 of the text), ``base`` and ``learned``: spans as kind, start, end in characters."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     scanned = materialize(texts.mapInArrow(_scan, SCAN), "scanned")
     found = scanned.select("doc_id", "t", F.explode("finds").alias("x")).select("doc_id", "t", "x.*")
@@ -176,7 +177,7 @@ def written(spans: Column) -> Column:
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_pii_spans").to_pylist(), strict=True):
             if text and spans:
                 parts, at = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
@@ -188,13 +189,13 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
         i = batch.schema.get_field_index("text")
         batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, pa.string()))
-        yield batch.select([n for n in batch.schema.names if n != "spans"])
+        yield batch.select([n for n in batch.schema.names if n != "_pii_spans"])
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets. An overlapping span joins the one before."""
-    found = find_spans(docs).withColumn("spans", F.concat("base", "learned")).where(F.size("spans") > 0)
-    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "spans").dropDuplicates(["_id", "_t"]), "spans")
-    keys = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_t"))
-    rows = docs.join(small(found), keys, "left").select(*(docs[c] for c in docs.columns), "spans")
+    found = find_spans(docs).withColumn("_pii_spans", F.concat("base", "learned")).where(F.size("_pii_spans") > 0)
+    found = materialize(found.select(F.col("doc_id").alias("_pii_doc"), F.col("t").alias("_pii_t"), "_pii_spans").dropDuplicates(["_pii_doc", "_pii_t"]), "spans")
+    keys = docs.doc_id.eqNullSafe(F.col("_pii_doc")) & (F.xxhash64(docs.text) == F.col("_pii_t"))
+    rows = docs.join(small(found), keys, "left").select(*(docs[c] for c in docs.columns), "_pii_spans")
     return rows.mapInArrow(_redact, docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm import kernel
 from stratum.llm.kernel import U
-from stratum.llm.shared import drop, longs, materialize, table, text_slices
+from stratum.llm.shared import drop, longs, materialize, small_batches, table, text_slices
 
 WINDOW = 50
 ANCHORS = "a long, c1 long, c2 long, doc_id long, t long, pos long, back int, ahead int"
@@ -154,6 +154,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every document with n_words, n_removed, the words it keeps joined by spaces (``text``)
     and its maximal repeats as intervals of words (``repeats``)."""
+    small_batches(docs.sparkSession)
     found = find_repeats(docs, window)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     joined = texts.join(found, ["doc_id", "t"], "left").select("doc_id", "text", "repeats")
