@@ -162,7 +162,9 @@ def _prefixes(k: int, percent: int, tokens, n_docs):
                     top = level[: base + matches - 1]
                     salts = np.maximum(1, top // ROWS_PER_TASK)
                 own = own[: base + matches - 1]
-                salt = (int(doc) * 0x9E3779B1 & 0x7FFFFFFF) % np.broadcast_to(salts, len(own))
+                salts = np.broadcast_to(salts, len(own))
+                # 0 is for shingles that are not salted, so each row tells whether others of its shingle may stand elsewhere
+                salt = np.where(salts > 1, 1 + (int(doc) * 0x9E3779B1 & 0x7FFFFFFF) % salts, 0)
                 out.append((own, *(np.full(len(own), x) for x in (doc, n, matches)), np.arange(len(own)), salt))
             if out:
                 token, doc, *others = (np.concatenate(x) for x in zip(*out, strict=True))

@@ -61,6 +61,45 @@ def test_against_brute_force(spark, seed, heavy):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def salted_corpus(seed):
+    """Pairs that share nothing but shingles which many others have, too."""
+    rng = random.Random(seed)
+    common, ids, rows = prose(rng, 24), iter(rng.sample(range(10, 5000), 400)), []
+    for _ in range(40):
+        a = rng.randrange(0, 10)
+        rows += [(next(ids), " ".join(common[a : a + n])) for n in (13, 14)]
+    for _ in range(60):
+        rows.append((next(ids), " ".join(common[: rng.randrange(5, 24)] + prose(rng, rng.choice([1, 4, 40])))))
+    return rows
+
+
+@pytest.mark.parametrize("seed,per_task", [(3, 1), (4, 7)])
+def test_a_row_alone_in_any_salt_stays(spark, monkeypatch, seed, per_task):
+    monkeypatch.setattr(jaccard_join, "ROWS_PER_TASK", per_task)
+    rows = salted_corpus(seed)
+    got = jaccard_join.similar_documents(documents(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_rows_of_salted_shingles_all_pass(monkeypatch):
+    """Two documents alone in two salts of each shingle: no row of theirs may be dropped."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "ROWS_PER_TASK", 1)
+    texts = ["a b c d e f g h", "a b c d e f g h i"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    heavy = np.unique(np.concatenate(jaccard_join.sets(data, np.cumsum([0, *map(len, texts)]), 5)))
+    sent = types.SimpleNamespace(value=heavy), types.SimpleNamespace(value=np.full(len(heavy), 2))
+    batch = pa.RecordBatch.from_arrays([pa.array([2, 3]), pa.array(texts)], ["doc_id", "text"])
+    rows = pa.Table.from_batches(jaccard_join._prefixes(5, 75, *sent)(iter([batch]))).sort_by([(c, "ascending") for c in ("token", "salt", "n", "doc_id")])
+    assert len({(t, s) for t, s in zip(*rows.select(["token", "salt"]).to_pydict().values(), strict=True)}) == rows.num_rows  # each is alone
+    kept = pa.Table.from_batches(jaccard_join._shared_rows(iter(rows.combine_chunks().to_batches())))
+    assert kept.num_rows == rows.num_rows
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus(5)
     kept = [r.doc_id for r in jaccard_join.one_of_each(documents(spark, rows)).collect()]
