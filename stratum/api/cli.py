@@ -92,7 +92,7 @@ def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
         for room, n in done.rooms.items():
             say(f"  {room}: {n}")
     elif args.command == "search":
-        say(layers.search(store.read("drawers"), args.query, args.wing, args.room, args.results, embedding))
+        say(layers.search(store.read("drawers"), args.query, args.wing, args.room, args.results, embedding, store.read("vectors")))
     elif args.command == "status":
         from stratum.api.tools import Tools
 
@@ -110,7 +110,7 @@ def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
         docs, asked = bench.load(spark, args.dataset)
         batch = bench.as_drawers(docs)
         store.refresh(batch)
-        say(json.dumps(bench.run(store.read("drawers"), asked, args.backend, args.k, embedding).first().asDict()))
+        say(json.dumps(bench.run(store.read("drawers"), asked, args.backend, args.k, embedding, store.read("vectors")).first().asDict()))
     return 0
 
 

@@ -109,7 +109,7 @@ class Tools:
 
     def _search(self, query: str, limit: int, wing=None, room=None):
         asked = self.spark.createDataFrame([(1, query.strip())], "qid long, query string")
-        return search.hybrid(self.drawers(), asked, limit, wing, room, self.embedding)
+        return search.hybrid(self.drawers(), asked, limit, wing, room, self.embedding, self.store.read("vectors"))
 
     def tool_search(self, args):
         query = _text(args, "query", schema.MAX_QUERY_CHARS)

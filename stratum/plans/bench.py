@@ -47,8 +47,8 @@ def as_drawers(docs: DataFrame) -> DataFrame:
     )
 
 
-def run(drawers: DataFrame, asked: DataFrame, backend: str = "hybrid", k: int = 5, config: EmbeddingConfig | None = None) -> DataFrame:
+def run(drawers: DataFrame, asked: DataFrame, backend: str = "hybrid", k: int = 5, config: EmbeddingConfig | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """One row: queries, recall_at_k, mrr, ndcg_at_k."""
     queries = asked.select(F.col("id").alias("qid"), "query")
     relevant = asked.select(F.col("id").alias("qid"), F.explode("relevant_ids").alias("id"))
-    return metrics.evaluate(only_ids(drawers, queries, k, backend, config), relevant, queries, k)
+    return metrics.evaluate(only_ids(drawers, queries, k, backend, config, vectors), relevant, queries, k)

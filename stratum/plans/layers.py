@@ -69,9 +69,9 @@ def search_report(query: str, hits: Iterable) -> str:
     return "\n".join([f'## L3 — SEARCH RESULTS for "{query}"', *lines]) if lines else "No results found."
 
 
-def search(drawers: DataFrame, query: str, wing: str | None = None, room: str | None = None, n: int = 5, config: EmbeddingConfig | None = None) -> str:
+def search(drawers: DataFrame, query: str, wing: str | None = None, room: str | None = None, n: int = 5, config: EmbeddingConfig | None = None, vectors: DataFrame | None = None) -> str:
     asked = drawers.sparkSession.createDataFrame([(1, query)], "qid long, query string")
-    return search_report(query, hybrid(drawers, asked, n, wing, room, config).orderBy("rank").collect())
+    return search_report(query, hybrid(drawers, asked, n, wing, room, config, vectors).orderBy("rank").collect())
 
 
 def wake_up(drawers: DataFrame, identity_file: str, wing: str | None = None, prefer_compressed: bool = False) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import text as X
-from stratum.functions.embed import EmbeddingConfig, embed_column, phrase_overlap, stemmed_terms
+from stratum.functions.embed import EmbeddingConfig, embed_column, phrase_overlap, provider, stemmed_terms
 from stratum.operators import lexical, semantic
 from stratum.operators.drawers import scoped
 
@@ -21,8 +21,8 @@ def _heuristic(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
 
 
 def hybrid(drawers: DataFrame, queries: DataFrame, limit: int = 5, wing: str | None = None, room: str | None = None, config: EmbeddingConfig | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """Hits of each query (qid, query): scores, rank, snippet and the drawer's columns. ``vectors`` (drawer_id, embedding)
-    are computed from the previews where none are given."""
+    """Hits of each query (qid, query): scores, rank, snippet and the drawer's columns. ``vectors`` are stored ones (drawer_id,
+    embedding, backend) of whole contents; drawers without one of this backend get theirs from the content. Only the heuristic reads previews."""
     k = min(limit, MOST)
     depth = max(20, 5 * k)
     own = queries.where(X.strip(F.col("query")) != "").withColumn("terms", stemmed_terms(F.col("query")))
@@ -32,10 +32,14 @@ def hybrid(drawers: DataFrame, queries: DataFrame, limit: int = 5, wing: str | N
     lex = lex.select("qid", "id", "lexical_rank", lexical.lexical_score(F.col("bm25")).alias("lexical_score"), "heuristic_score").cache()
     embed = embed_column(config)
     preview = active.select("id", F.substring("content", 1, 300).alias("preview"))
-    if vectors is None:
-        rows = preview.select("id", embed(F.col("preview")).alias("embedding"))
-    else:
-        rows = preview.select("id").join(vectors.select(F.col("drawer_id").alias("id"), "embedding"), "id")
+    bare = active.select("id", "content")
+    if vectors is not None:
+        label = provider(config or EmbeddingConfig.resolve("local", "builtin")).label.value
+        stored = vectors.where(F.col("backend") == label).select(F.col("drawer_id").alias("id"), "embedding")
+        bare = bare.join(stored, "id", "left_anti")
+    rows = bare.select("id", embed(F.col("content")).alias("embedding"))
+    if vectors is not None:
+        rows = rows.union(active.select("id").join(stored, "id"))
     asked = own.select("qid", embed(F.col("query")).alias("vector"))
     scored = semantic.candidates_or_all(semantic.cosine_scores(rows, asked), lex)
     scored = _heuristic(scored.join(preview, "id"), own, "preview")
@@ -49,17 +53,17 @@ def hybrid(drawers: DataFrame, queries: DataFrame, limit: int = 5, wing: str | N
     )
 
 
-def duplicates(drawers: DataFrame, contents: DataFrame, threshold: float = 0.85, config: EmbeddingConfig | None = None) -> DataFrame:
+def duplicates(drawers: DataFrame, contents: DataFrame, threshold: float = 0.85, config: EmbeddingConfig | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Stored drawers that a new content (qid, query) repeats."""
-    return semantic.duplicates(hybrid(drawers, contents, 5, config=config), threshold)
+    return semantic.duplicates(hybrid(drawers, contents, 5, config=config, vectors=vectors), threshold)
 
 
-def only_ids(drawers: DataFrame, queries: DataFrame, k: int, backend: str, config: EmbeddingConfig | None = None) -> DataFrame:
+def only_ids(drawers: DataFrame, queries: DataFrame, k: int, backend: str, config: EmbeddingConfig | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """qid, id, rank by one method: fts, local, onnx, openai or hybrid. Vector methods score whole contents of all drawers."""
     if backend == "fts":
         return lexical.search(drawers, queries, k).select("qid", "id", F.col("lexical_rank").alias("rank"))
     if backend == "hybrid":
-        return hybrid(drawers, queries, k, config=config).select("qid", "id", "rank")
+        return hybrid(drawers, queries, k, config=config, vectors=vectors).select("qid", "id", "rank")
     embed = embed_column(config)
     rows = drawers.where("active").select("id", embed(F.col("content")).alias("embedding"))
     scored = semantic.cosine_scores(rows, queries.select("qid", embed(F.col("query")).alias("vector")))

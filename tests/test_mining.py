@@ -190,3 +190,25 @@ def test_metrics_by_hand(spark):
     relevant = spark.createDataFrame([("q1", "b"), ("q2", "d"), ("q2", "c"), ("q3", "x")], "qid string, id string")
     r = metrics.evaluate(results, relevant, spark.createDataFrame([("q1",), ("q2",), ("q3",)], "qid string"), 2).select(*(F.round(c, 4).alias(c) for c in ("recall_at_k", "mrr", "ndcg_at_k"))).first()
     assert tuple(r) == (round(2 / 3, 4), 0.5, round((0.63093 + 1 / 1.63093) / 3, 4))
+
+
+def test_semantic_scores_cover_whole_contents(spark):
+    from stratum.functions.embed import embed_column
+    from stratum.plans import bench, search
+
+    filler = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([("d1", "w", "r", f"{filler} quasar telescope", None), ("d2", "w", "r", "quasar telescope bread", None), ("d3", "w", "r", "bread", None)], "id string, wing string, room string, content string, source_file string")
+    drawers = bench.as_drawers(docs).cache()
+    asked = spark.createDataFrame([(1, "quasar telescope")], "qid long, query string")
+    own = embed_column(None)
+    want = {r.id: r.s for r in search.semantic.cosine_scores(drawers.select("id", own("content").alias("embedding")), asked.select("qid", own("query").alias("vector"))).select("id", F.round("semantic_score", 6).alias("s")).collect()}
+    assert want["d1"] > 0
+    got = {r.id: r.semantic_score for r in search.hybrid(drawers, asked).collect()}
+    assert got["d1"] == want["d1"]
+    # stored vectors of this backend are taken as they are, drawers without one are embedded
+    stored = drawers.where("id = 'd2'").select(F.col("id").alias("drawer_id"), own(F.lit("quasar telescope")).alias("embedding"))
+    label = search.provider(search.EmbeddingConfig.resolve("local", "builtin")).label.value
+    got = {r.id: r.semantic_score for r in search.hybrid(drawers, asked, vectors=stored.withColumn("backend", F.lit(label))).collect()}
+    assert got["d1"] == want["d1"] and got["d2"] == 1.0
+    got = {r.id: r.semantic_score for r in search.hybrid(drawers, asked, vectors=stored.withColumn("backend", F.lit("other"))).collect()}
+    assert got["d2"] == want["d2"]
