@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
 One scan of the texts finds the spans of the fixed patterns (kinds email, ip, card, phone) and
-the other tokens that look like identifiers (with an @ or four digits or more), each with its
-lexical patterns: the two words before it and the word on either side of it. From there Spark
+the other tokens that look like identifiers (with an @ or four digits or more) and maximal runs
+of tokens of digits, brackets and hyphens (four digits or more), each with its lexical patterns: the two words before it and the word on either side of it. From there Spark
 works on a table of those finds alone:
 
 1. Spans of the fixed patterns are the seeds; they give each pattern its instances.
 2. A pattern's confidence for a kind is the share of its instances known to be of that kind,
    with ``PRIOR`` instances of doubt, and nothing under ``MIN_SUPPORT`` distinct ones.
 3. An instance's confidence is that at least one of its patterns is right. Instances at
-   ``ACCEPT`` or more become known; 2 and 3 are repeated ``ROUNDS`` times.
-4. Occurrences of accepted instances that the fixed patterns missed become spans.
+   ``ACCEPT`` or more become known; 2 and 3 are repeated until no instance is new.
+4. Occurrences of accepted instances that the fixed patterns missed become spans, without
+   those inside a longer one of their kind.
 
 Counts are summed per pattern and instance before anything is joined, and each round is
 written, so both sides of its joins are plain exchanges that can be split at hot keys.
@@ -21,6 +22,7 @@ never overlaps one of the fixed patterns; other columns are ignored; an empty ta
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -39,6 +41,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+PIECE = re.compile(r"[\"'\[{<]*+[+(]*+[0-9][0-9().+-]*+[.,;:!?\"')\]}>]*+")
 LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -88,6 +91,50 @@ def _shape(word: str) -> str:
     return re.sub("[0-9]+", "0", word.lower().strip(".,;:!?\"'()[]{}<>"))[:40]
 
 
+def runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of two or more tokens of digits, brackets and hyphens on a line, outside of ``taken`` (sorted). Other punctuation ends a run."""
+    out: list[tuple[int, int]] = []
+    own: list[tuple[int, int]] = []
+
+    def close() -> None:
+        while own and text[own[-1][0] : own[-1][1]] == "-":
+            own.pop()
+        if len(own) > 1:
+            start, end = own[0][0], own[-1][1]
+            while text[start] in "\"'[{<(":
+                start += 1
+            while text[end - 1] in ".,;:!?\"')]}>-":
+                end -= 1
+            # a bracket whose partner is inside belongs to the run
+            if text[start:end].count(")") > text[start:end].count("(") and start > own[0][0] and text[start - 1] == "(":
+                start -= 1
+            if text[start:end].count("(") > text[start:end].count(")") and text[end : end + 1] == ")":
+                end += 1
+            if len(DIGIT.findall(text, start, end)) >= 4:
+                out.append((start, end))
+        own.clear()
+
+    past = 0
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        joins = bool(own) and text[own[-1][1] - 1] in "0123456789)-" and not text[own[-1][1] : start].strip(" \t")
+        if PIECE.fullmatch(m.group()):
+            while past < len(taken) and taken[past][1] <= start:
+                past += 1
+            if past < len(taken) and taken[past][0] < end:
+                close()
+                continue
+            if not joins or text[start] in "\"'[{<":
+                close()
+            own.append((start, end))
+        elif joins and m.group() == "-":
+            own.append((start, end))
+        elif own:
+            close()
+    close()
+    return out
+
+
 def finds(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """(kind or None, start, end, pattern, instance) for every pattern around every find."""
     others = []
@@ -105,10 +152,12 @@ def finds(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             end -= 1
         if start < end and not any(a < end and start < b for a, b in taken):
             others.append((None, start, end))
+    several = set(runs(text, taken))
+    others += [(None, start, end) for start, end in several - {(a, b) for _, a, b in others}]
     out = []
     for kind, start, end in [*base, *others]:
         left, right = text[max(0, start - 200) : start].split()[-2:], text[end : end + 200].split()[:1]
-        instance = re.sub(r"[\x20().-]", "", text[start:end].lower()) if kind in (2, 3) else text[start:end].lower()
+        instance = re.sub(r"[\x20\t().-]", "", text[start:end].lower()) if kind in (2, 3) or (kind is None and (start, end) in several) else text[start:end].lower()
         if len(left) == 2:
             out.append((kind, start, end, f"< {_shape(left[0])} {_shape(left[1])}", instance))
         if left and right:
@@ -134,10 +183,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, base_type), pa.array(found, find_type)], ["doc_id", "t", "base", "finds"])
 
 
-def learn(edges: DataFrame) -> DataFrame:
-    """instance, kind of what the patterns discover. ``edges``: pattern, instance, kind (null: unknown), one row each."""
+def learn(edges: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """instance, kind of what the patterns discover. ``edges``: pattern, instance, kind (null: unknown), one row each.
+    It ends once no instance is new, or after ``rounds`` rounds (None: however many it takes)."""
     known = materialize(edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known")), "known")
-    for _ in range(ROUNDS):
+    for _ in itertools.count() if rounds is None else range(rounds):
         sums = edges.select("pattern", "instance").distinct().join(known, "instance", "left").groupBy("pattern").agg(
             F.count("*").alias("n"), *(F.count_if(F.col("known") == k).alias(f"n{k}") for k in range(len(KINDS)))
         ).where((F.col("n") >= MIN_SUPPORT) & (F.col("pattern") != ""))
@@ -147,7 +197,10 @@ def learn(edges: DataFrame) -> DataFrame:
         open_ = edges.where("kind is null").select("pattern", "instance").distinct()
         doubt = open_.join(patterns, "pattern").groupBy("instance", "kind").agg(F.exp(F.sum(F.log1p(-F.col("confidence")))).alias("doubt"))
         new = doubt.where(F.col("doubt") <= 1 - ACCEPT).groupBy("instance").agg(F.min(F.struct("doubt", "kind"))["kind"].alias("known"))
-        known = materialize(known.union(new.join(known.select("instance"), "instance", "left_anti")), "known")
+        new = materialize(new.join(known.select("instance"), "instance", "left_anti"), "new")
+        if new.isEmpty():
+            break
+        known = materialize(known.union(new), "known")
     return known.select("instance", F.col("known").alias("kind"))
 
 
@@ -158,9 +211,11 @@ def find_spans(docs: DataFrame) -> DataFrame:
     scanned = materialize(texts.mapInArrow(_scan, SCAN), "scanned")
     found = scanned.select("doc_id", "t", F.explode("finds").alias("x")).select("doc_id", "t", "x.*")
     edges = materialize(found.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "edges")
-    known = learn(edges)
+    known = learn(edges, rounds=None)
     news = found.where("kind is null").select("doc_id", "t", "start", "end", "instance").join(known, "instance")
     learned = news.groupBy("doc_id", "t").agg(F.collect_set(F.struct("kind", "start", "end")).alias("learned"))
+    inside = lambda x, y: (x["kind"] == y["kind"]) & (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x != y)
+    learned = learned.withColumn("learned", F.filter("learned", lambda x: ~F.exists("learned", lambda y: inside(x, y))))
     learned = small(materialize(learned, "learned"))
     out = scanned.select("doc_id", "t", "base").alias("s").join(learned.alias("l"), F.expr("s.doc_id <=> l.doc_id and s.t = l.t"), "left")
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")

@@ -60,6 +60,37 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert learned == {200: f"email:{at}:{at + len('someone-at-home@nowhere')}"}
 
 
+def test_runs_of_tokens_are_candidates():
+    for text, want in {
+        "and call (415) 555-2671 today": ["(415) 555-2671"], "call 0171 555 123, or 0171 - 555 124.": ["0171 555 123", "0171 - 555 124"],
+        "(call 0171 555 123)": ["0171 555 123"], "(4111 1111) x 12": ["4111 1111"], "a1 22 33\n44 55": ["44 55", "22 33"], "in 1999. 2004 was 1 2": [], "12 \"34 56\"": ["34 56"], "": [],
+    }.items():
+        assert sorted(text[a:b] for a, b in pii.runs(text, [])) == sorted(want), text
+    assert pii.runs("call +1 (415) 555-2000 44 55", [(5, 22)]) == [(23, 28)]
+    began = time.process_time()
+    for text in ("1 " * 100_000, "- " * 100_000, "1 - " * 50_000, "(" * 200_000, "1" + "." * 200_000 + "x", "1 " + "- " * 100_000 + "x"):
+        pii.runs(text, [])
+    assert time.process_time() - began < 20
+
+
+def test_identifiers_of_several_tokens_are_found_whole(spark):
+    more = [(300, "w please mail me and call (415) 555-2671 today"), (301, "w and call 0171 555 123 today")]
+    texts = dict(more)
+    rows = {r.doc_id: r for r in pii.redact(documents(spark, CASES + more)).collect()}
+    assert rows[300].text == "w please mail me and call [PHONE] today" and rows[301].text == "w and call [PHONE] today"
+    at = texts[301].index("0171")
+    assert {r.doc_id: r.learned for r in spans(spark, CASES + more)}[301] == f"phone:{at}:{at + len('0171 555 123')}"
+
+
+def test_learning_goes_on_until_nothing_is_new(spark):
+    """Each group is accepted a round after the one before it."""
+    edges = [("p0", f"s0.{i}", 0) for i in range(30)]
+    for j in range(1, 7):
+        edges += [(p, f"x{j}.{i}", None) for i in range(4) for p in (f"p{j - 1}", f"p{j}")] + [(f"p{j}", f"s{j}.{i}", 0) for i in range(7)]
+    got = {r.instance for r in pii.learn(spark.createDataFrame(edges, "pattern string, instance string, kind int"), rounds=None).collect()}
+    assert got == {i for _, i, _ in edges}
+
+
 def test_learning_against_brute_force(spark):
     rng = random.Random(13)
     edges = list({(f"p{rng.randrange(12)}", f"i{i}", (None, None, 0, 3)[i % 4]) for _ in range(300) for i in [rng.randrange(80)] if i % 4 < 2 or rng.random() < 0.9})
