@@ -3,8 +3,8 @@
 posterior(l) ~ text(l) * P(declared | l) * P(suffix | l) * P(l | host)
 
 * text: hashed byte trigrams of the lower-cased text under a naive Bayes model per language.
-  The model is fitted on a bounded sample of labelled rows (``TRAIN_DOCS``, by hash of doc_id,
-  whole texts); a text's mean log-likelihood counts as at most ``STRENGTH`` trigrams, which
+  The model is fitted on a bounded sample of each language's labelled rows (about ``TRAIN_DOCS``,
+  by hash of doc_id, whole texts), so no language is left out; a text's mean log-likelihood counts as at most ``STRENGTH`` trigrams, which
   are far from independent.
 * declared markup language and address suffix: how often each goes with each language, from
   all rows' first verdicts (the best by text alone), by grouped counts with add-``SMOOTH``.
@@ -72,10 +72,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """The model of (key, lang, text) rows: of at most ``most`` of them, those whose key has the least hash."""
+    """The model of (key, lang, text) rows: of about ``most`` of each language, those whose key has the least hash,
+    or all where there are no more; never none."""
     rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key"))
-    last = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    own = rows.where(F.col("h") <= F.lit(last)).select("lang", "text")
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.count("*"))  # of the range of hashes
+    last = rows.groupBy("lang").agg(F.greatest(share * 2.0**64 - 2.0**63, F.min("h").cast("double")).alias("last"))
+    own = rows.join(small(materialize(last, "last")), "lang").where(F.col("h").cast("double") <= F.col("last")).select("lang", "text")
     counts = own.mapInArrow(_count, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("lang").to_pylist()))  # as many as the sample has, with PLACES rows each at most
     table = np.zeros((len(names), PLACES))

@@ -83,6 +83,13 @@ def test_posterior_against_brute_force(spark):
         assert r.language == want[r.id][0] and r.confidence == pytest.approx(want[r.id][1]) and r.accepted == (want[r.id][1] >= langid.CONFIDENT)
 
 
+def test_rare_languages_stay_in_the_model(spark):
+    rng = random.Random(17)
+    rows = [(i, "aa", text(rng, "aa", 5)) for i in range(2000)] + [(3000 + i, f"r{i:02d}", text(rng, "cc", 5)) for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "key long, lang string, text string"), most=20)
+    assert model.langs == sorted({x for _, x, _ in rows})
+
+
 def test_pages(spark):
     rng = random.Random(16)
     labels = spark.createDataFrame([(i, lang, text(rng, lang, 40)) for i, lang in enumerate(list(SOUNDS) * 5)], "key long, lang string, text string")
