@@ -63,9 +63,47 @@ def test_against_brute_force(spark):
 def test_removal_and_empty_tables(spark):
     rows, items = case()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    kept = decontam.remove_leaks(documents(spark, rows), bench)
-    bad = {d for d, n, h, _ in brute(rows, items) if h and 20 * h >= n}
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in rows if d not in bad)
+    bad = {d for d, _, h, _ in brute(rows, items) if h}
+    for block in (decontam.BLOCK_BYTES, 800):
+        kept = decontam.remove_leaks(documents(spark, rows, extra=True), bench, block_bytes=block)
+        assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in rows if d not in bad)
+        assert not any(h for *_, h, _ in brute([(r.doc_id, r.text) for r in kept.collect()], items))  # no window is left
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.remove_leaks(documents(spark, rows), none).count() == len(rows)
     assert decontam.find_leaks(documents(spark, []), bench).count() == 0
+
+
+def test_windows_at_every_place_and_periodic_texts(spark):
+    """Windows cut out of an item at each place, of items that repeat themselves or share words with short ones."""
+    rng = random.Random(9)
+    items = [(1, " ".join(prose(rng, 60, 9))), (2, "a " * 200), (3, "a b " * 40), (4, "a a a a a"), (5, " ".join(prose(rng, 13, 9))), (6, "w1 w2 w3 w4 w5"), (7, "w1 w2 w3 w4 w5 " * 4)]
+    own = items[0][1].split()
+    rows = [(i, " ".join(["x", *own[i : i + 13], "y"])) for i in range(48)] + [(100 + i, " ".join(own[i : i + 12])) for i in range(48)]
+    rows += [(200, "a " * 5000), (201, "b a " * 30), (202, "a " * 12), (203, "w1 w2 w3 w4 w5 " * 9), (204, "w2 w3 w4 w5 w1 " * 3)]
+    found = decontam.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    found = found.withColumn("n_hit", decontam.n_hit()).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found), key=str) == brute(rows, items)
+
+
+def test_a_large_benchmark_stays_small_in_memory():
+    """4 MB of text: a 32 MB benchmark, in its two blocks, then takes under a GB of a worker."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from stratum.llm import decontam
+rng = random.Random(1)
+vocabulary = [f"{rng.randrange(1 << 40):x}"[:rng.randrange(2, 9)] for _ in range(50_000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+items = [(str(i), " ".join(rng.choices(vocabulary, k=1000))) for i in range(650)]
+size = sum(len(t) for _, t in items)
+found = decontam.Benchmark(items, 13)
+words = decontam.normalised(items[7][1])
+assert found.find([*words[100:200], b"x", *words[500:512]])[1] == {"7"}
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    size, grown = map(int, out[-2:])
+    assert size > 3_500_000
+    assert grown * decontam.BLOCK_BYTES / size < 1_000_000_000

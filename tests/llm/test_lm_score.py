@@ -8,6 +8,7 @@ import pytest
 
 from stratum.llm import lm_score
 from tests.llm.data import AWKWARD, documents, prose, words
+from tests.llm.test_substring_dedup import thue_morse
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -67,6 +68,15 @@ def test_weights_by_brute_force():
     assert likelihood(lm_score.learn(cells, 2000)[0]) >= best - 1e-3
 
 
+def test_long_words_of_like_form(spark):
+    x, y = thue_morse(11)
+    train, held = [i for i in range(100) if fold(i) not in (2, 3)][:3], next(i for i in range(100) if fold(i) == 2)
+    rows = [*((i, x) for i in train), (held, y)]
+    got = {r.doc_id: r for r in lm_score.score(documents(spark, rows)).collect()}
+    assert got[held].n_known == 1  # the end alone
+    assert got[train[0]].n_known == 2
+
+
 def test_no_training_and_empty_tables(spark):
     held = next(i for i in range(100) if fold(i) == 2)
     r = lm_score.score(documents(spark, [(held, "a b")])).collect()

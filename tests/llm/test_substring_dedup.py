@@ -52,6 +52,22 @@ def test_against_brute_force(spark, seed, size):
     assert got == brute(rows, size)
 
 
+def thue_morse(n):
+    """Two words of 2**n letters that polynomials modulo 2**64 hash alike."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate({97: 98, 98: 97})
+    return s, s.translate({97: 98, 98: 97})
+
+
+def test_long_words_of_like_form(spark):
+    for n in (10, 11, 12):
+        x, y = thue_morse(n)
+        rows = [(1, " ".join([x] * 50)), (2, " ".join([y] * 50)), (3, " ".join([y] * 50))]
+        got = substring_dedup.remove_repeats(documents(spark, rows)).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 50)]
+
+
 def test_empty_table(spark):
     assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
 
