@@ -13,14 +13,10 @@ WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda
 
 
 def quality() -> str:
-    rules = quality_rules.RULES
-    grid = " UNION ALL ".join(
-        f"SELECT lang, '{rule}' AS rule, {c} AS cutoff, count(*) FILTER ({below} > 0 AND 1000 * {above} >= {c} * {below}) AS k, count(*) AS n FROM holdout GROUP BY lang"
-        for rule, (above, below, cutoffs) in rules.items() for c in cutoffs
-    )
-    p = quality_rules.ALPHA / len(rules)
+    rules, steps = quality_rules.RULES, quality_rules.STEPS
+    rejects = ", ".join(f"CASE WHEN {rules[rule][1]} > 0 AND 1000 * {rules[rule][0]} >= {c} * {rules[rule][1]} THEN {i} END" for i, (rule, c) in enumerate(steps, 1))
+    p = quality_rules.ALPHA
     tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r}))))"
-    hit = " OR ".join(f"coalesce({above} * 1000 >= c.{rule} * {below} AND {below} > 0, false)" for rule, (above, below, _) in rules.items())
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, {WORDS} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
@@ -30,12 +26,13 @@ repeated AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i
 f AS (SELECT t.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
     len(l) AS n_lines, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_capitals FROM t LEFT JOIN repeated ON t.r = repeated.r),
-g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-holdout AS (SELECT g.* FROM g JOIN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) y ON g.doc_id = y.doc_id WHERE NOT base_failed),
-grid AS ({grid}),
-good AS (SELECT lang, rule, min(cutoff) AS cutoff FROM grid WHERE {tail} <= {quality_rules.DELTA!r} / ({len(rules)} * (SELECT count(DISTINCT lang) FROM holdout)) GROUP BY lang, rule),
-c AS (SELECT lang, {', '.join(f"min(cutoff) FILTER (rule = '{rule}') AS {rule}" for rule in rules)} FROM good GROUP BY lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({hit}) AS kept FROM g LEFT JOIN c ON g.lang = c.lang"""
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_min([{rejects}]) AS first_step FROM f),
+holdout AS (SELECT lang, doc_id, min(coalesce(first_step, {len(steps) + 1})) AS step, bool_or(base_failed) AS base_failed
+    FROM g WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) GROUP BY lang, doc_id),
+good AS (SELECT * FROM holdout WHERE NOT base_failed),
+grid AS (SELECT lang, s, count(*) FILTER (step <= s) AS k, count(*) AS n FROM good, (SELECT unnest(range(1, {len(steps) + 1})) AS s) GROUP BY lang, s),
+c AS (SELECT lang, max(s) AS certified FROM grid WHERE {tail} <= {quality_rules.DELTA!r} / (SELECT count(DISTINCT lang) FROM good) GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(first_step <= certified, false) AS kept FROM g LEFT JOIN c ON g.lang = c.lang"""
 
 
 SUBSTRINGS = f"""

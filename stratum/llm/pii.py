@@ -2,14 +2,16 @@
 
 One scan of the texts finds the spans of the fixed patterns (kinds email, ip, card, phone) and
 the other tokens that look like identifiers (with an @ or four digits or more) and maximal runs
-of tokens of digits, brackets and hyphens (four digits or more), each with its lexical patterns: the two words before it and the word on either side of it. From there Spark
-works on a table of those finds alone:
+of tokens of digits, brackets and hyphens (four digits or more), each with its lexical patterns:
+the two words before it and the word on either side of it. From there Spark works on a table of
+those finds alone:
 
 1. Spans of the fixed patterns are the seeds; they give each pattern its instances.
 2. A pattern's confidence for a kind is the share of its instances known to be of that kind,
    with ``PRIOR`` instances of doubt, and nothing under ``MIN_SUPPORT`` distinct ones.
 3. An instance's confidence is that at least one of its patterns is right. Instances at
-   ``ACCEPT`` or more become known; 2 and 3 are repeated until no instance is new.
+   ``ACCEPT`` or more become known; 2 and 3 are repeated until no instance is new, which ends
+   as a round without a new one is the last and instances are finite.
 4. Occurrences of accepted instances that the fixed patterns missed become spans, without
    those inside a longer one of their kind.
 
@@ -18,12 +20,15 @@ written, so both sides of its joins are plain exchanges that can be split at hot
 
 Defined results: null and empty texts have no spans; equal rows find the same spans; rows
 without doc_id are searched like others; spans of different kinds may overlap; a learned span
-never overlaps one of the fixed patterns; other columns are ignored; an empty table gives no rows."""
+never overlaps one of the fixed patterns; an instance that the fixed patterns find as two kinds is
+known as the first of them in the order listed, and of kinds that patterns suggest equally the
+first is taken; words and texts are read whole, however long, in time in proportion to their
+length; other columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
-import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from stratum.llm.shared import materialize, small, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
-MIN_SUPPORT, PRIOR, ACCEPT, ROUNDS = 5, 1.0, 0.8, 3
+MIN_SUPPORT, PRIOR, ACCEPT = 5, 1.0, 0.8
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -88,10 +93,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _shape(word: str) -> str:
-    return re.sub("[0-9]+", "0", word.lower().strip(".,;:!?\"'()[]{}<>"))[:40]
+    return re.sub("[0-9]+", "0", word.lower().strip(".,;:!?\"'()[]{}<>"))
 
 
-def runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def runs(text: str, taken: list[list[int]]) -> list[tuple[int, int]]:
     """Maximal runs of two or more tokens of digits, brackets and hyphens on a line, outside of ``taken`` (sorted). Other punctuation ends a run."""
     out: list[tuple[int, int]] = []
     own: list[tuple[int, int]] = []
@@ -137,26 +142,37 @@ def runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def finds(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """(kind or None, start, end, pattern, instance) for every pattern around every find."""
-    others = []
-    taken = sorted((a, b) for _, a, b in base)
     if "@" not in text and not DIGIT.search(text):
         return []
+    taken: list[list[int]] = []
+    for _, a, b in sorted(base, key=lambda x: x[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    past = [b for _, b in taken]
+    others, firsts, lasts = [], [], []
     for m in TOKEN.finditer(text):
+        start, end = m.span()
+        firsts.append(start)
+        lasts.append(end)
         word = m.group()
-        if "@" not in word[1:-1] and sum(c in "0123456789" for c in word) < 4:
+        if "@" not in word[1:-1] and sum(map(word.count, "0123456789")) < 4:
             continue
-        start, end = m.span()
         while start < end and text[start] in ".,;:!?\"'()[]{}<>":
             start += 1
         while start < end and text[end - 1] in ".,;:!?\"'()[]{}<>":
             end -= 1
-        if start < end and not any(a < end and start < b for a, b in taken):
+        i = bisect_right(past, start)
+        if start < end and not (i < len(taken) and taken[i][0] < end):
             others.append((None, start, end))
     several = set(runs(text, taken))
-    others += [(None, start, end) for start, end in several - {(a, b) for _, a, b in others}]
+    others += [(None, start, end) for start, end in sorted(several - {(a, b) for _, a, b in others})]
     out = []
     for kind, start, end in [*base, *others]:
-        left, right = text[max(0, start - 200) : start].split()[-2:], text[end : end + 200].split()[:1]
+        i, j = bisect_left(firsts, start), bisect_right(lasts, end)
+        left = [text[firsts[k] : min(lasts[k], start)] for k in range(max(0, i - 2), i)]
+        right = [text[max(firsts[j], end) : lasts[j]]] if j < len(lasts) else []
         instance = re.sub(r"[\x20\t().-]", "", text[start:end].lower()) if kind in (2, 3) or (kind is None and (start, end) in several) else text[start:end].lower()
         if len(left) == 2:
             out.append((kind, start, end, f"< {_shape(left[0])} {_shape(left[1])}", instance))
@@ -183,11 +199,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, base_type), pa.array(found, find_type)], ["doc_id", "t", "base", "finds"])
 
 
-def learn(edges: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
-    """instance, kind of what the patterns discover. ``edges``: pattern, instance, kind (null: unknown), one row each.
-    It ends once no instance is new, or after ``rounds`` rounds (None: however many it takes)."""
+def learn(edges: DataFrame) -> DataFrame:
+    """instance, kind of what the patterns discover. ``edges``: pattern, instance, kind (null: unknown), one row each."""
     known = materialize(edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known")), "known")
-    for _ in itertools.count() if rounds is None else range(rounds):
+    while True:
         sums = edges.select("pattern", "instance").distinct().join(known, "instance", "left").groupBy("pattern").agg(
             F.count("*").alias("n"), *(F.count_if(F.col("known") == k).alias(f"n{k}") for k in range(len(KINDS)))
         ).where((F.col("n") >= MIN_SUPPORT) & (F.col("pattern") != ""))
@@ -211,7 +226,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     scanned = materialize(texts.mapInArrow(_scan, SCAN), "scanned")
     found = scanned.select("doc_id", "t", F.explode("finds").alias("x")).select("doc_id", "t", "x.*")
     edges = materialize(found.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "edges")
-    known = learn(edges, rounds=None)
+    known = learn(edges)
     news = found.where("kind is null").select("doc_id", "t", "start", "end", "instance").join(known, "instance")
     learned = news.groupBy("doc_id", "t").agg(F.collect_set(F.struct("kind", "start", "end")).alias("learned"))
     inside = lambda x, y: (x["kind"] == y["kind"]) & (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (x != y)

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that may be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Largest size, as text, of the rows that may be sent to every executor.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that the numpy kernels work on at a time.
 SLICE_BYTES = 1 << 18
 
 
+_own: dict[str, str] = {}
 #: Bytes of a batch that is sent to a Python worker, unless the session has a limit of its own.
 BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
 
@@ -30,11 +33,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, as the session names it. Only a session whose
+    executors are threads of this machine may name none; it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stratum-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="stratum-"))
     return found.rstrip("/")
 
 
@@ -69,10 +74,13 @@ def drop(df: DataFrame) -> None:
     release(spark)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows. Beyond that it is
-    joined by shuffling, where adaptive execution splits the partitions of hot keys."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows and, written out, ``most_bytes``
+    bytes. Beyond that it is joined by shuffling, where adaptive execution splits the partitions of
+    hot keys. ``df`` is read twice: let it be a table."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    rows, length = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= limit and (length or 0) <= most_bytes else df
 
 
 def text_slices(
