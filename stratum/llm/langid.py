@@ -3,9 +3,10 @@
 posterior(l) ~ text(l) * P(declared | l) * P(suffix | l) * P(l | host)
 
 * text: hashed byte trigrams of the lower-cased text under a naive Bayes model per language.
-  The model is fitted on a bounded sample of each language's labelled rows (about ``TRAIN_DOCS``,
-  by hash of doc_id, whole texts), so no language is left out; a text's mean log-likelihood counts as at most ``STRENGTH`` trigrams, which
-  are far from independent.
+  The model is fitted on a bounded sample of each language's labelled rows (about ``TRAIN_DOCS``
+  different ones, by hash of key and text, whole texts), so no language is left out; a text's mean
+  log-likelihood counts as at most ``STRENGTH`` trigrams, which are far from independent. The
+  labels serve this alone: a row's own label is no evidence about it.
 * declared markup language and address suffix: how often each goes with each language, from
   all rows' first verdicts (the best by text alone), by grouped counts with add-``SMOOTH``.
 * host: grouped counts of the first verdicts, smoothed towards those of the host's suffix, and
@@ -16,7 +17,8 @@ posterior is ``CONFIDENT`` or more.
 
 Defined results: a null, empty or letterless text has no language and is rejected; a null or
 unseen declaration, suffix or host adds nothing; of equal posteriors the first language in
-order wins; repeated rows are judged each; without labelled rows there is no language and
+order wins; repeated rows are judged each, and of a host with several suffixes the first in order
+is the one it is smoothed towards; without labelled rows there is no language and
 nothing is accepted; other columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -72,12 +74,13 @@ class Model:
 
 
 def fit(labelled: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """The model of (key, lang, text) rows: of about ``most`` of each language, those whose key has the least hash,
-    or all where there are no more; never none."""
-    rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key"))
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.count("*"))  # of the range of hashes
+    """The model of (key, lang, text) rows: of about ``most`` different ones of each language, those whose
+    key and text have the least hash, or all where there are no more; never none. Equal rows count once."""
+    rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("key", "text"))
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.approx_count_distinct("h"))  # of the range of hashes
     last = rows.groupBy("lang").agg(F.greatest(share * 2.0**64 - 2.0**63, F.min("h").cast("double")).alias("last"))
-    own = rows.join(small(materialize(last, "last")), "lang").where(F.col("h").cast("double") <= F.col("last")).select("lang", "text")
+    own = rows.join(small(materialize(last, "last")), "lang").where(F.col("h").cast("double") <= F.col("last"))
+    own = own.groupBy("lang", "h").agg(F.max("text").alias("text")).select("lang", "text")
     counts = own.mapInArrow(_count, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("lang").to_pylist()))  # as many as the sample has, with PLACES rows each at most
     table = np.zeros((len(names), PLACES))
@@ -164,10 +167,17 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
+def markup_language(text: Column) -> Column:
+    """What the lang attribute of an html element declares."""
+    return F.nullif(F.lower(F.regexp_extract(text, r"(?i)<html[^>]*\slang=[\"']?([A-Za-z]+)", 1)), F.lit(""))
+
+
 def of_documents(docs: DataFrame) -> DataFrame:
-    """Documents: ``lang`` is what is declared, ``source`` the host; they have no address."""
-    text = F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), text.alias("suffix"), F.col("source").alias("host"))
+    """Documents: what markup in the text declares, the host that ``source`` names, and its suffix if it
+    has one. ``lang`` is the label that the classifier is fitted on, and no evidence about its own row."""
+    host = F.lower(F.regexp_extract(F.col("source"), r"^(?:[A-Za-z]+://)?([^/?#:]+)", 1))
+    suffix = F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", markup_language(F.col("text")).alias("declared"), suffix.alias("suffix"), F.nullif(host, F.lit("")).alias("host"))
     return identify(rows, docs.select(F.col("doc_id").alias("key"), "lang", "text"))
 
 
@@ -175,8 +185,7 @@ def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Pages: the lang attribute of the markup, the last label of the host's name, the host."""
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1)), F.lit(""))
     bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    declared = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z]+)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("id"), bare.alias("text"), declared.alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), host.alias("host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("id"), bare.alias("text"), markup_language(F.col("html")).alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), host.alias("host"))
     return identify(rows, labelled)
 
 

@@ -1,12 +1,14 @@
 """Packing documents into sequences as a cutting-stock problem solved by column generation.
 
 Each document's token ids, with an end id, are cut into pieces of ``size`` ids and a rest.
-Lengths are counted in classes of ``GRID`` ids, so the histogram has at most size / GRID
-entries however large the corpus is. On the driver a linear program over filling patterns
+Lengths are counted in units of ``GRID`` ids, so the histogram has at most size / GRID entries
+however large the corpus is; pieces of up to ``SHORT`` ids are taken by their exact length, as many
+at a time as fill whole units. On the driver a linear program over filling patterns
 is solved by column generation: a knapsack dynamic program over the dual values prices the
 next pattern, until no pattern helps. Patterns are used a whole number of times each, the
 few pieces left over go to greedily filled patterns, and every pattern's places are given to
-the documents of each class by their rank, which Spark computes per class and salt.
+the documents of each class by their rank, which Spark computes per class and salt. Equal pieces
+are counted first and ranked as one row, so copies of a document load no task.
 
 Defined results: null text is empty (the end id alone); repeated rows are packed each; an
 empty table gives no pieces; other columns are ignored; rows without doc_id are packed."""
@@ -26,6 +28,7 @@ from stratum.llm.shared import longs, materialize, small_batches, table
 
 SIZE = 2048
 GRID = 8
+SHORT = 64
 END_ID = 1
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -172,28 +175,40 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 def assign(pieces: DataFrame, size: int = SIZE, grid: int = GRID) -> DataFrame:
     """``pieces`` with sequence_id and the offset of each there. ``pieces`` is read three times: let it be a table."""
     spark = pieces.sparkSession
-    ranked = pieces.withColumn("class", F.ceil(F.col("length") / grid).cast("long"))
-    counts = {int(r[0]): int(r[1]) for r in ranked.groupBy("class").count().collect()}  # at most size / grid rows
-    plan = places(solve(counts, size // grid))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    short = min(SHORT, size)
+    kind = F.when(F.col("length") <= short, F.col("length")).otherwise(short + F.ceil(F.col("length") / grid))
+    ranked = pieces.withColumn("class", kind.cast("long"))
+    counts = {int(r[0]): int(r[1]) for r in ranked.groupBy("class").count().collect()}  # at most short + size / grid rows
+    each_time = np.ones(short + size // grid + 2, np.int64)  # of each class: pieces taken at a time, their units, and rank among those of as many
+    units, first_rank, needed = np.zeros_like(each_time), np.zeros_like(each_time), {}
+    for k, n in sorted(counts.items()):
+        each_time[k] = grid // math.gcd(grid, k) if k <= short and k * grid <= size else 1
+        units[k] = -(-k * int(each_time[k]) // grid) if k <= short else k - short
+        first_rank[k] = needed.get(int(units[k]), 0)
+        needed[int(units[k])] = int(first_rank[k]) + -(-n // int(each_time[k]))
+    plan = places(solve(needed, size // grid))
+    ranked = materialize(ranked.groupBy("class", *names).agg(F.count("*").alias("copies")), "equal-pieces")
     total, parts = sum(counts.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = max(1, min(math.ceil(total / (4 * parts)), 1_000_000))
     salts = spark.createDataFrame([(k, math.ceil(n / each)) for k, n in counts.items()] or [(0, 1)], "class long, salts long")
     ranked = ranked.join(F.broadcast(salts), "class").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")))
     offsets = (
-        ranked.groupBy("class", "salt").agg(F.count("*").alias("n"))
+        ranked.groupBy("class", "salt").agg(F.sum("copies").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).drop("n")
     )
-    own = Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = ranked.withColumn("rank", F.row_number().over(own).cast("long") - 1)
+    own = Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "length").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("rank", F.coalesce(F.sum("copies").over(own), F.lit(0)))
     # as many rows as salts: at most four per shuffle partition and one per class
     ranked = ranked.join(F.broadcast(offsets), ["class", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    ranked = ranked.select(*names, "class", F.explode(F.sequence("rank", F.col("rank") + F.col("copies") - 1)).alias("rank"))
     keys = plan[:, 0] * (1 << 44) + plan[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, r = longs(batch, "class"), longs(batch, "rank")
-            row = plan[np.searchsorted(keys, k * (1 << 44) + r, side="right") - 1]
+            r = first_rank[k] + r // each_time[k]
+            row = plan[np.searchsorted(keys, units[k] * (1 << 44) + r, side="right") - 1]
             sequence = row[:, 2] + (r - row[:, 1]) // np.maximum(row[:, 3], 1)
             yield table(**{n: batch.column(batch.schema.get_field_index(n)) for n in names}, sequence_id=sequence)
 

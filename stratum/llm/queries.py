@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from stratum.llm import decontam, jaccard_join, langid, licenses, lm_score, packing, pii, quality_rules, substring_dedup, warc_store
 from stratum.llm.oracle import ORACLE  # noqa: F401
-from stratum.llm.shared import new_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +24,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
-    warc_store.write_archive(read(spark, sf_dir, "pages"), path)
-    return warc_store.described(warc_store.read_archive(spark, path)).drop("url")
+    return warc_store.round_trip(read(spark, sf_dir, "pages")).drop("url")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

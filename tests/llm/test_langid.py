@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm import langid
 from tests.llm.data import AWKWARD, documents
@@ -38,6 +39,33 @@ def test_held_out_accuracy_and_rejection(spark):
     assert kept.count() == sum(r.accepted for r in got) and kept.columns == documents(spark, []).columns
 
 
+@pytest.mark.parametrize("fold", [0, 1])
+def test_accuracy_on_documents_outside_of_the_sample(spark, fold):
+    """Documents of the table judged by a model of the others, their labels unknown to it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").withColumn("fold", F.expr("pmod(xxhash64(text), 2)"))
+    rows = docs.where(F.col("fold") == fold).selectExpr("doc_id as id", "text", "cast(null as string) as declared", "cast(null as string) as suffix", "source as host")
+    found = langid.identify(rows, docs.where(F.col("fold") != fold).selectExpr("doc_id as key", "lang", "text"))
+    right, n, kept = found.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").where("n_letters >= 20").selectExpr("count_if(language = lang)", "count(*)", "count_if(accepted)").first()
+    assert n > 400 and right >= 0.98 * n and kept >= 0.99 * n
+
+
+def test_labels_are_no_evidence(spark):
+    rng = random.Random(18)
+    rows = [(i, text(rng, list(SOUNDS)[i % 3], 30), list(SOUNDS)[i % 3], "https://h.example.de/x") for i in range(300)]
+    rows += [(900, text(rng, "aa", 30), "bb", "h2"), (901, "<html lang='cc'>" + text(rng, "aa", 30), "cc", None)]
+    got = {r.id: r for r in langid.of_documents(documents(spark, rows)).collect()}
+    assert got[900].language == "aa" and got[901].language == "aa" and got[901].declared == "cc"
+
+
+def test_a_sample_of_equal_rows_is_bounded(spark):
+    rng = random.Random(19)
+    same = [(1, "aa", "kai mo")] * 3000
+    rows = same + [(None, "aa", "tu ra")] * 3000 + [(i, "bb", text(rng, "bb", 5)) for i in range(100)]
+    model = langid.fit(spark.createDataFrame(rows, "key long, lang string, text string"), most=20)
+    counts = np.exp(model.log[0])
+    assert model.langs == ["aa", "bb"] and counts.max() * langid.PLACES / 2 < 20  # a count or two, not thousands
+
+
 def test_posterior_against_brute_force(spark):
     rng = random.Random(15)
     rows = []

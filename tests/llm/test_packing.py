@@ -42,6 +42,25 @@ def test_pieces_and_sequences(spark):
     assert check(packing.pack(documents(spark, rows, extra=True)).collect(), texts) > 0.95
 
 
+def test_ids_are_those_of_the_other_library_for_every_document(spark):
+    """Both libraries over all texts of a table, and texts made to be hard."""
+    import random
+
+    rng = random.Random(2)
+    encode = packing.encoder(*packing.public_paths())
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(1, 0x250), rng.randrange(0x3000, 0x3100), 0x1F600, 10, 32])) for _ in range(rng.randrange(80))) for _ in range(500)]
+    for text, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == want.ids
+
+
+def test_copies_are_ranked_as_one(spark):
+    rows = [(1, "a b c d")] * 5000 + [(None, None)] * 3000 + [(2, "x " * 3000)] * 10
+    texts = {1: ["a b c d"] * 5000, None: [None] * 3000, 2: ["x " * 3000] * 10}
+    assert check(packing.pack(documents(spark, rows)).collect(), texts) > 0.9
+
+
 def test_empty_table(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
