@@ -9,10 +9,12 @@ the other training folds the counts. Scores then use the counts of all training
 The text is read once, into blocks of about ``block_tokens`` tokens that name their words by
 places in a sorted list of word hashes. Blocks ask for counts and get them back: a block's
 distinct words and bigrams go, sorted, to the part that owns their range of hashes; the part
-adds up all blocks and answers each with the totals in the order asked. So what travels is a
-hash per distinct bigram of a block and a number back, both compressed, no table of counts is ever held whole
-by a task or the driver, and both the parts and the blocks are of bounded size. To the driver
-come totals and, for the weights, a histogram over buckets and quarter-octave ratios.
+adds up all blocks and answers each, in the order asked, with what other blocks have of it,
+which is mostly nothing. So what travels is a hash per distinct bigram of a block and few numbers
+back, both compressed, no table of counts is ever held whole by a task or the driver, and both
+the parts and the blocks are of bounded size. A message goes to a part only if the block has a key
+there, so there are never more of them than distinct keys of blocks, however many the parts. To
+the driver come totals and, for the weights, a histogram over buckets and quarter-octave ratios.
 
 Words are lower-cased (A-Z) runs without ASCII white space; a document is its words and an
 end. Words and bigrams are 64-bit hashes. Defined results: a null or empty text is the end
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 
 from stratum.llm import kernel
 from stratum.llm.kernel import U
-from stratum.llm.shared import longs, materialize, release, small_batches, table, text_slices
+from stratum.llm.shared import drop, longs, materialize, release, small_batches, table, text_slices
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 BLOCK_TOKENS = 1_000_000
 PART_KEYS = 4_000_000
 BUCKETS = 24
 BINS = 4  # per octave
+NONE = -9999  # the bin of a ratio of 0
 END, BEGIN = U(0xE0D0E0D0E0D0E0D1), U(0xB0E0B0E0B0E0B0E3)
 BLOCK = "block long, n_tokens long, doc_id array<long>, n array<int>, fold array<int>, ids binary, words binary"
 
@@ -162,13 +165,16 @@ ANSWER = "block long, kind int, part int, kept binary, tuning binary, n_kept lon
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """The totals of one part, to each block that asked; a row without block has the part's sums."""
+    """What other blocks have of the keys of one part, to each block that asked; a row without block has the part's sums."""
     col = {c: group.column(c).combine_chunks() for c in group.column_names}
     lists = [unpack_keys(x) for x in col["keys"].to_pylist()]
     _, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    totals = [np.bincount(inverse, weights=np.concatenate([unpack(x, "<u4") for x in col[c].to_pylist()]).astype(np.float64)).astype(np.int64) for c in ("kept", "tuning")]
     cuts = np.cumsum([len(x) for x in lists])[:-1]
-    back = [[pack(x.astype("<u4")) for x in np.split(t[inverse], cuts)] for t in totals]
+    totals, back = [], []
+    for c in ("kept", "tuning"):
+        own = np.concatenate([unpack(x, "<u4") for x in col[c].to_pylist()])
+        totals.append(np.bincount(inverse, weights=own.astype(np.float64)).astype(np.int64))
+        back.append([pack(x) for x in np.split((totals[-1][inverse] - own).astype("<u4"), cuts)])
     kind, part, n = group.column("kind")[0].as_py(), group.column("part")[0].as_py(), len(lists)
     sums = (int(totals[0].sum()), int(totals[1].sum()), int((totals[0] > 0).sum()), int((totals[0] + totals[1] > 0).sum()))
     return pa.table({
@@ -178,9 +184,30 @@ def _answer(group: pa.Table) -> pa.Table:
     })
 
 
-def _counts(answers: pa.Table) -> dict[tuple[int, str], np.ndarray]:
+OTHERS = [f"{c}{kind}" for kind in (0, 1) for c in ("kept", "tuning")]
+ANSWERED = f"{BLOCK}, {', '.join(f'{c} binary' for c in OTHERS)}"
+
+
+def _join(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    """Each block with the answers to it, in the order of its keys."""
     rows = sorted(answers.select(["kind", "part", "kept", "tuning"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
-    return {(k, c): np.concatenate([np.zeros(0, "<u4"), *(unpack(r[c], "<u4") for r in rows if r["kind"] == k)]).astype(np.int64) for k in (0, 1) for c in ("kept", "tuning")}
+    whole = lambda kind, c: np.concatenate([np.zeros(0, "<u4"), *(unpack(r[c], "<u4") for r in rows if r["kind"] == kind)])
+    for kind in (0, 1):
+        for c in ("kept", "tuning"):
+            blocks = blocks.append_column(f"{c}{kind}", pa.array([pack(whole(kind, c))] * blocks.num_rows, pa.binary()))
+    return blocks
+
+
+def _counts(row: dict, block: Block) -> dict[tuple[int, str], np.ndarray]:
+    """Counts of all documents, of the block's words (0) and bigrams (1)."""
+    own = {(kind, c): x for kind, (_, *two) in enumerate(block.asked()) for c, x in zip(("kept", "tuning"), two, strict=True)}
+    return {(kind, c): x + unpack(row[f"{c}{kind}"], "<u4").astype(np.int64) for (kind, c), x in own.items()}
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -190,10 +217,10 @@ def bucket(context: np.ndarray) -> np.ndarray:
 def _tune(totals: dict):
     """The histogram of the tuning tokens over bucket and both ratios to the uniform probability."""
 
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for row in blocks.to_pylist():
-            b, c = Block(row), _counts(answers)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _blocks_of(batches):
+            b = Block(row)
+            c = _counts(row, b)
             context = np.append(c[0, "kept"], totals["docs_kept"])[b.v]
             seen = np.bincount(b.bigram_of[b.tuning], minlength=len(b.bigrams))
             at = np.flatnonzero(seen)
@@ -201,12 +228,10 @@ def _tune(totals: dict):
             with np.errstate(divide="ignore", invalid="ignore"):
                 r2 = np.log2(np.where(context[at] > 0, c[1, "kept"][at] / context[at], 0) / uniform)
                 r1 = np.log2(c[0, "kept"][b.w[at]] / max(totals["n_kept"], 1) / uniform)
-            code = np.stack([bucket(context[at]), *(np.where(np.isfinite(r), np.round(np.nan_to_num(r, neginf=0) * BINS), -9999) for r in (r2, r1))]).astype(np.int64)
+            code = np.stack([bucket(context[at]), *(np.where(np.isfinite(r), np.round(np.nan_to_num(r, neginf=0) * BINS), NONE) for r in (r2, r1))]).astype(np.int64)
             cells, inverse = np.unique(code, axis=1, return_inverse=True)
-            out.append((cells, np.bincount(inverse.reshape(-1), weights=seen[at], minlength=cells.shape[1])))
-        cells = np.concatenate([np.zeros((3, 0), np.int64), *(x for x, _ in out)], axis=1)
-        n = np.concatenate([np.zeros(0), *(x for _, x in out)]).astype(np.int64)
-        return pa.table({"bucket": cells[0], "r2": cells[1], "r1": cells[2], "n": n})
+            n = np.bincount(inverse.reshape(-1), weights=seen[at], minlength=cells.shape[1]).astype(np.int64)
+            yield table(bucket=cells[0], r2=cells[1], r1=cells[2], n=n)
 
     return run
 
@@ -216,7 +241,7 @@ def learn(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
     A bucket without tuning tokens has the weights of all of them."""
 
     def fit(own: np.ndarray) -> np.ndarray:
-        ratio = np.where(own[:, 1:3] == -9999, 0.0, 2.0 ** (own[:, 1:3] / BINS))
+        ratio = np.where(own[:, 1:3] == NONE, 0.0, 2.0 ** (own[:, 1:3] / BINS))
         p = np.column_stack([ratio, np.ones(len(own))])
         a, n = np.full(3, 1 / 3), own[:, 3].astype(float)
         for _ in range(rounds):
@@ -231,25 +256,21 @@ def learn(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 
 def _score(totals: dict, weights: np.ndarray):
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = totals["n_kept"] + totals["n_tuning"], totals["v_all"]
-        docs, numbers, reals = [], [], []
-        for row in blocks.to_pylist():
-            b, c = Block(row), _counts(answers)
+        for row in _blocks_of(batches):
+            b = Block(row)
+            c = _counts(row, b)
             words, pairs = c[0, "kept"] + c[0, "tuning"], c[1, "kept"] + c[1, "tuning"]
             context = np.append(words, totals["docs"])[b.v]
             a = weights[bucket(context)]
             p = a[:, 0] * pairs / np.maximum(context, 1) + a[:, 1] * words[b.w] / max(n, 1) + a[:, 2] / (v + 1)
             base = np.log10((words + 1) / (n + (v + 1)))
             add = lambda x: np.add.reduceat(x, b.starts)  # noqa: B023, E731
-            docs += b.docs
-            numbers.append(np.stack([b.fold == HELD_OUT, b.n, add((words > 0)[b.ids].astype(np.int64))]))
-            reals.append(np.stack([add(base[b.ids]), add(np.log10(p)[b.bigram_of])]))
-        x, y = np.concatenate([np.zeros((3, 0), np.int64), *numbers], axis=1), np.concatenate([np.zeros((2, 0)), *reals], axis=1)
-        return pa.table({
-            "doc_id": pa.array(docs, pa.int64()), "held_out": x[0].astype(bool), "n_tokens": x[1], "n_known": x[2],
-            "train_tokens": np.full(len(docs), n, np.int64), "base_score": y[0], "score": y[1],
-        })
+            yield table(
+                doc_id=pa.array(b.docs, pa.int64()), held_out=b.fold[:] == HELD_OUT, n_tokens=b.n, n_known=add((words > 0)[b.ids].astype(np.int64)),
+                train_tokens=np.full(len(b.docs), n, np.int64), base_score=add(base[b.ids]), score=add(np.log10(p)[b.bigram_of]),
+            )
 
     return run
 
@@ -273,8 +294,9 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         "docs": sum(r[1] for r in folds if r[0] != HELD_OUT), "docs_kept": sum(r[1] for r in folds if r[0] not in (HELD_OUT, TUNING)),
     }
     replies = answers.where("block is not null").select("block", "kind", "part", "kept", "tuning")
-    both = lambda f, schema: blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(f, schema)
-    cells = both(_tune(totals), "bucket long, r2 long, r1 long, n long").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
+    answered = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_join, ANSWERED), "answered")
+    drop(blocks)
+    drop(answers)
+    cells = answered.mapInArrow(_tune(totals), "bucket long, r2 long, r1 long, n long").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
     weights = learn(np.array([tuple(r) for r in cells.collect()], np.int64).reshape(-1, 4))  # bounded by its bins
-    release(spark)
-    return both(_score(totals, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answered.mapInArrow(_score(totals, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

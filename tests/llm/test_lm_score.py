@@ -44,6 +44,20 @@ def test_against_brute_force(spark, block_tokens):
             p = (bi[a, b] / context if context else 0, uni[b] / sum(uni.values()))
             cells[min(int(math.log2(context + 1)), 23), *(round(4 * math.log2(x * (len(uni) + 1))) if x else -9999 for x in p)] += 1
     weights = lm_score.learn(np.array([(*k, m) for k, m in cells.items()]))
+    # weights from binned ratios are as good as those from the exact ones
+    exact, binned = [], []
+    for t in tuning:
+        for a, b in zip(["^", *t], t):  # noqa: B905
+            context = n_docs if a == "^" else uni[a]
+            exact.append((min(int(math.log2(context + 1)), 23), bi[a, b] / context if context else 0, uni[b] / sum(uni.values()), 1 / (len(uni) + 1)))
+    exact = np.array(exact)
+    for k in np.unique(exact[:, 0]):
+        p, w = exact[exact[:, 0] == k, 1:], np.full(3, 1 / 3)
+        for _ in range(60):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        binned.append((np.log2(p @ weights[int(k)]).sum(), np.log2(p @ w).sum()))
+    assert sum(x for x, _ in binned) == pytest.approx(sum(y for _, y in binned), rel=1e-3)
     uni, bi, n_docs = model(train)
     want = []
     for d, t in rows:
