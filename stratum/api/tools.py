@@ -188,8 +188,8 @@ class Tools:
         fact = [_text(args, n) for n in ("subject", "predicate", "object")]
         new = self.spark.createDataFrame([(*fact, args.get("valid_from"), 1.0, args.get("source_closet"), None)], "subject string, predicate string, object string, valid_from string, confidence double, source_closet string, source_file string")
         now = F.current_timestamp()
-        self.store.write("entities", kg.with_entities(self.store.read("entities"), new.select(F.col("subject").alias("name")).union(new.select("object")), now))
-        self.store.write("triples", kg.add(self.store.read("triples"), new, now))
+        names = new.select(F.col("subject").alias("name")).union(new.select("object"))
+        self.store.write_all({"entities": kg.with_entities(self.store.read("entities"), names, now), "triples": kg.add(self.store.read("triples"), new, now)})
         return {"success": True, "fact": " → ".join(fact)}
 
     def tool_kg_invalidate(self, args):

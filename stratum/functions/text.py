@@ -1,4 +1,4 @@
-"""Scalars as column expressions: everything here stays in the JVM."""
+"""Scalars as column expressions. All but the dialect line stay in the JVM."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stratum.functions import vocab
-from stratum.schema import GROUP_LINES, MIN_CHAT_CHUNK
+from stratum.functions.passages import dialect_of
+from stratum.schema import GROUP_LINES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -153,107 +154,11 @@ def marker_scores(text: Column) -> dict[str, Column]:
     return {kind: sum((F.regexp_count(low, F.lit(p)) for p in patterns), F.lit(0)) for kind, patterns in vocab.MARKERS.items()}
 
 
-def prose(text: Column) -> Column:
-    """The text without fenced code and lines that look like commands or code; the whole text if nothing is left."""
-    own = F.transform(lines(text), lambda x: F.struct(x.alias("line"), strip(x).alias("s")))
-    start = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        fence = x["s"].startswith("```")
-        keep = ~fence & ~state["code"] & ~x["s"].rlike(vocab.CODE_LINE)
-        return F.struct((state["code"] != fence).alias("code"), F.when(keep, F.array_append(state["kept"], x["line"])).otherwise(state["kept"]).alias("kept"))
-
-    joined = strip(F.array_join(F.aggregate(own, start, step)["kept"], "\n"))
-    return F.when(joined == "", text).otherwise(joined)
-
-
-def memory(segment: Column) -> Column:
-    """struct(memory_type, confidence) of a segment; null where no marker is found."""
-    kinds = list(vocab.MARKERS)
-
-    def measured(p: Column) -> Column:
-        low = F.lower(p)
-        words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\b\w+\b"), F.lit(0)))
-        known = lambda v: F.size(F.array_intersect(words, F.array(*map(F.lit, v))))
-        scores = F.array(*(sum((F.regexp_count(low, F.lit(x)) for x in vocab.MARKERS[k]), F.lit(0)) for k in kinds))
-        return F.struct(scores.alias("s"), (known(vocab.POSITIVE) > known(vocab.NEGATIVE)).alias("positive"), contains_any(low, vocab.RESOLUTIONS).alias("resolved"))
-
-    def judged(m: Column) -> Column:
-        score = lambda k: F.get(m["s"], kinds.index(k))
-        first = F.array_position(m["s"], F.array_max(m["s"])) - 1
-        name = F.get(F.array(*map(F.lit, kinds)), first.cast("int"))
-        problem = first == kinds.index("problem")
-        kind = (
-            F.when(problem & m["resolved"] & (score("emotional") > 0) & m["positive"], "emotional").when(problem & m["resolved"], "milestone")
-            .when(problem & m["positive"] & (score("milestone") > 0), "milestone").when(problem & m["positive"] & (score("emotional") > 0), "emotional").otherwise(name)
-        )
-        bonus = F.when(F.octet_length(segment) > 500, 2).when(F.octet_length(segment) > 200, 1).otherwise(0)
-
-        def typed(k: Column) -> Column:
-            own = F.get(m["s"], (F.array_position(F.array(*map(F.lit, kinds)), k) - 1).cast("int"))
-            return F.struct(k.alias("memory_type"), F.least(F.lit(1.0), (own + bonus) / F.lit(5.0)).alias("confidence"))
-
-        return F.when(F.array_max(m["s"]) > 0, let(kind, typed))
-
-    return let(let(prose(segment), measured), judged)
-
-
-def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n\n", -1), strip), lambda p: p != "")
-
-
 def line_groups(text: Column, size: int = GROUP_LINES) -> Column:
     return let(lines(text), lambda own: F.when(F.size(own) == 0, F.array().cast("array<string>")).otherwise(F.transform(
         F.sequence(F.lit(0), F.floor((F.size(own) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(own, i * size + 1, size), "\n"))))
 
 
-def _turns(own: Column, is_start) -> Column:
-    """Lines grouped from each start on; lines before the first start are a group of their own."""
-    def step(groups: Column, line: Column) -> Column:
-        new = is_start(line) | (F.size(groups) == 0)
-        last = F.concat(F.element_at(groups, -1), F.array(line))
-        return F.when(new, F.array_append(groups, F.array(line))).otherwise(F.array_append(F.slice(groups, 1, F.size(groups) - 1), last))
-
-    return F.aggregate(own, F.array().cast("array<array<string>>"), step)
-
-
-def segments(text: Column) -> Column:
-    """Turns where three lines or more open one, else paragraphs, else groups of 25 lines."""
-    opens = lambda x: strip(x).rlike(vocab.TURN_LINE)
-
-    def split(own: Column) -> Column:
-        turns = F.transform(_turns(own, opens), lambda g: F.array_join(g, "\n"))
-        groups = F.filter(line_groups(text), lambda g: strip(g) != "")
-        return F.when(F.size(F.filter(own, opens)) >= 3, turns).otherwise(let(
-            paragraphs(text), lambda p: F.when((F.size(p) <= 1) & (F.size(own) > 20), groups).otherwise(p)))
-
-    return let(lines(text), split)
-
-
-def exchanges(text: Column) -> Column:
-    """Chunks of a chat: quoted lines with up to eight lines of reply, else paragraphs, else groups of lines."""
-    quoted = lambda x: x.startswith(">")
-    long = lambda x: F.octet_length(strip(x)) > MIN_CHAT_CHUNK
-
-    def reply(group: Column) -> Column:
-        rest = F.slice(group, 2, F.size(group))
-        stop = F.array_position(F.transform(rest, lambda x: x.startswith("---")), True).cast("int")
-        rest = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
-        return F.array_join(F.slice(F.filter(rest, lambda x: x != ""), 1, 8), " ")
-
-    def by_quote(own: Column) -> Column:
-        groups = F.filter(_turns(F.transform(own, strip), quoted), lambda g: quoted(g[0]))
-        chunks = F.transform(groups, lambda g: F.when(reply(g) == "", g[0]).otherwise(F.concat(g[0], F.lit("\n"), reply(g))))
-        return F.filter(chunks, long)
-
-    def split(own: Column) -> Column:
-        by_paragraph = let(paragraphs(text), lambda p: F.when((F.size(p) <= 1) & (F.size(own) > 20), F.filter(line_groups(text), long)).otherwise(
-            F.filter(p, lambda x: F.octet_length(x) > MIN_CHAT_CHUNK)))
-        return F.when(F.size(F.filter(own, lambda x: quoted(strip(x)))) >= 3, by_quote(own)).otherwise(by_paragraph)
-
-    return let(lines(text), split)
-
-
 def facts(content: Column) -> Column:
     """array of struct(subject, predicate, object, confidence): each triple once, with its best confidence."""
     def rule(predicate: str, pattern: str, confidence: float) -> Column:
@@ -303,54 +208,9 @@ def first_codes(text: Column, signals: list[tuple[str, str]], most: int = 3) ->
     return F.slice(F.array_distinct(F.array_compact(codes)), 1, most)
 
 
-def entity_codes(text: Column) -> Column:
-    names = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z][a-z]{1,}\b"), F.lit(0))
-    return F.slice(F.array_distinct(F.transform(names, lambda n: F.upper(F.substring(n, 1, 3)))), 1, 3)
-
-
-def topics(text: Column, most: int = 3) -> Column:
-    """The most frequent words, capitalised and compound ones counting more."""
-    found = F.regexp_extract_all(text, F.lit(vocab.TOPIC), F.lit(0))
-    score = lambda w: 1 + F.when(w.rlike("^[A-Z]"), 2).otherwise(0) + F.when(w.rlike("[_-]|^.+[A-Z]"), 2).otherwise(0)
-    kept = F.filter(F.transform(found, lambda w: F.struct(F.lower(w).alias("w"), score(w).alias("n"))), lambda x: ~x["w"].isin(*vocab.STOP_WORDS))
-
-    def push(state: Column) -> Column:
-        own = F.struct((-state["n"]).alias("n"), state["w"].alias("w"))
-        return F.when(state["n"] == 0, state["top"]).otherwise(F.slice(F.array_sort(F.array_append(state["top"], own)), 1, most))
-
-    def step(state: Column, x: Column) -> Column:  # over words in order: equal ones follow each other
-        same = state["w"] == x["w"]
-        n = F.when(same, state["n"] + x["n"]).otherwise(x["n"])
-        return F.struct(x["w"].alias("w"), n.alias("n"), F.when(same, state["top"]).otherwise(push(state)).alias("top"))
-
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,w:string>>").alias("top"))
-    return F.transform(F.aggregate(F.array_sort(kept), start, step, push), lambda x: x["w"])
-
-
-def key_sentence(text: Column) -> Column:
-    """The sentence with most cue words, short ones preferred; the first of equal ones."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?\n]+", -1), strip), lambda s: F.octet_length(s) > 10)
-
-    def score(s: Column) -> Column:
-        low, size = F.lower(s), F.octet_length(s)
-        cues = sum(low.contains(c).cast("int") for c in vocab.CUES)
-        return 2 * cues + (size < 80).cast("int") + (size < 40).cast("int") - 2 * (size > 150).cast("int")
-
-    scored = F.transform(parts, lambda s, i: F.struct((-score(s)).alias("n"), i.alias("i"), s.alias("s")))
-    best = F.coalesce(F.array_min(scored)["s"], F.lit(""))
-    return let(best, lambda b: F.when(F.octet_length(b) > 55, F.concat(F.substring(b, 1, 52), F.lit("..."))).otherwise(b))
-
-
 def compressed(text: Column, wing: Column | None = None, room: Column | None = None, date: Column | None = None, source_file: Column | None = None) -> Column:
     """The compact dialect line of a text, under a header line if any of its parts is given."""
-    names = entity_codes(text)
-    body = F.concat_ws(
-        "|",
-        F.concat(F.lit("0:"), F.when(F.size(names) == 0, F.lit("???")).otherwise(F.array_join(names, "+"))),
-        let(topics(text), lambda t: F.when(F.size(t) == 0, F.lit("misc")).otherwise(F.array_join(t, "_"))),
-        let(key_sentence(text), lambda q: F.when(q != "", F.concat(F.lit('"'), q, F.lit('"')))),
-        F.nullif(F.array_join(first_codes(text, vocab.EMOTIONS), "+"), F.lit("")), F.nullif(F.array_join(first_codes(text, vocab.FLAGS), "+"), F.lit("")),
-    )
+    body = dialect_of(text)
     if all(x is None for x in (wing, room, date, source_file)):
         return body
     known = lambda x: F.lit("?") if x is None else F.coalesce(x, F.lit("?"))

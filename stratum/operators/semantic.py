@@ -79,3 +79,20 @@ def resolved(fused: DataFrame, drawers: DataFrame) -> DataFrame:
 def duplicates(hits: DataFrame, threshold: float = 0.85) -> DataFrame:
     score = 0.5 * F.col("semantic_score") + 0.25 * F.col("lexical_score") + 0.25 * F.col("heuristic_score")
     return hits.withColumn("duplicate_score", score).where(F.col("duplicate_score") >= threshold)
+
+
+def name_boosts(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """item_id, doc_id, boost (above zero): the share of each query's capitalised words of more than two bytes that
+    each text contains. Queries are a stated set: their distinct names are sent to the texts, in blocks."""
+    names = F.filter(F.split("query", r"(?U)\s+"), lambda w: w.rlike(r"^\p{Lu}") & (F.octet_length(w) > 2))
+    asked = queries.select("item_id", F.explode(names).alias("name")).groupBy("item_id", F.lower("name").alias("name")).agg(F.count("*").alias("m"))
+    total = asked.groupBy("item_id").agg(F.sum("m").alias("total"))
+    wanted = asked.select("name").distinct()
+    blocks = max(1, -(-wanted.count() // MOST_QUERIES))
+    low, out = docs.select("doc_id", F.lower("text").alias("low")), None
+    for i in range(blocks):
+        own = F.broadcast(wanted.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i))
+        hits = low.join(own, F.col("low").contains(F.col("name"))).select("doc_id", "name")
+        out = hits if out is None else out.union(hits)
+    met = out.join(asked, "name").groupBy("item_id", "doc_id").agg(F.sum("m").alias("m"))
+    return met.join(total, "item_id").select("item_id", "doc_id", (F.col("m") / F.col("total")).alias("boost"))

@@ -11,6 +11,7 @@ from stratum import schema
 from stratum.functions import text as X
 from stratum.functions.chunk import chunk_text
 from stratum.functions.embed import EmbeddingConfig, embed_column, provider
+from stratum.functions.passages import exchanges_of
 from stratum.operators import artifacts, kg
 from stratum.sources import chats, files
 from stratum.sources.config import ProjectConfig, Room
@@ -87,7 +88,7 @@ def chat_plan(found: DataFrame, wing: str, agent: str = "stratum", general: bool
         rows = rows.select(*base, "chunk_index", F.col("m.content").alias("content"), F.col("m.memory_type").alias("room"), F.lit("derived_memory").alias("drawer_type"))
         raw = _raw(rows.withColumn("hall", X.chat_hall(F.col("room"), F.col("content"), F.col("source_file"), True)), "general")
     else:
-        rows = own.withColumn("_c", X.exchanges(F.col("content"))).select(*base, F.posexplode("_c").alias("chunk_index", "content"))
+        rows = own.withColumn("_c", exchanges_of(F.col("content"))).select(*base, F.posexplode("_c").alias("chunk_index", "content"))
         rows = rows.withColumn("room", X.chat_room(F.col("content"))).withColumn("drawer_type", F.lit(schema.DRAWER))
         raw = _raw(rows.withColumn("hall", X.chat_hall(F.col("room"), F.col("content"), F.col("source_file"))))
     made = _artifacts(own, artifacts.of_text(F.col("content"), X.chat_room(F.col("content")), F.col("date"), F.col("source_file"), chat=True))
@@ -100,16 +101,16 @@ def _facts(own: DataFrame) -> DataFrame:
 
 
 def commit(store: Store, drawers: DataFrame, facts: DataFrame, config: EmbeddingConfig | None = None) -> int:
-    """Write a batch: drawers, vectors, revisions, entities and triples."""
+    """Write a batch in one change: drawers, vectors, revisions, entities and triples."""
     drawers = drawers.cache()
     embed = embed_column(config)
     label = provider(config or EmbeddingConfig.resolve("local", "builtin")).label.value
     vectors = drawers.select(F.col("id").alias("drawer_id"), embed(F.col("content")).alias("embedding"), F.lit(label).alias("backend"))
-    added = store.refresh(drawers, vectors)
     facts = facts.cache()
     now = F.current_timestamp()
-    store.write("entities", kg.with_entities(store.read("entities"), facts.select(F.col("subject").alias("name")).union(facts.select("object")), now))
-    store.write("triples", kg.add(store.read("triples"), facts, now))
+    names = facts.select(F.col("subject").alias("name")).union(facts.select("object"))
+    more = {"entities": kg.with_entities(store.read("entities"), names, now), "triples": kg.add(store.read("triples"), facts, now)}
+    added = store.refresh(drawers, vectors, more)
     for df in (drawers, facts):
         df.unpersist()
     return added

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import text as X
 from stratum.functions import vocab
+from stratum.functions.passages import exchanges_of, key_sentence_of, topics_of
 from stratum.operators import artifacts, drawers as D, kg, lexical, metrics, rooms, semantic
 from stratum.sources import chats
 from stratum import store
@@ -103,13 +104,13 @@ SENTENCES_SQL = "sentences AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '" +
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inline sentences and the first line of every document."""
+    """Inline sentences and the whole text of every document."""
     inline = spark.createDataFrame(list(enumerate(SENTENCES)), "n long, s string")
-    docs = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("n"), F.element_at(F.split("text", "\n", -1), 1).alias("s"))
+    docs = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("n"), F.col("text").alias("s"))
     return inline.union(docs)
 
 
-LINES_SQL = SENTENCES_SQL + ", texts AS (SELECT CAST(n AS BIGINT) AS n, s FROM sentences UNION ALL SELECT doc_id + 1000, split_part(text, chr(10), 1) FROM documents)"
+TEXTS_SQL = SENTENCES_SQL + ", texts AS (SELECT CAST(n AS BIGINT) AS n, s FROM sentences UNION ALL SELECT doc_id + 1000, text FROM documents)"
 
 
 def any_of(column: str, words: list[str]) -> str:
@@ -142,7 +143,12 @@ def transcript_render(spark, sf_dir):
     return chats.transcripts(turns, ["conv_id"]).select("conv_id", "transcript", "n_messages")
 
 
-@query()
+@query("""WITH m AS (SELECT conv_id, turn, CASE role WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant' ELSE role END AS role, trim(text, E' \\t\\n\\r') AS text FROM conversations WHERE role IN ('user', 'human', 'assistant', 'ai') AND trim(text, E' \\t\\n\\r') <> ''),
+n AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '> ' || text || CASE WHEN after = 'assistant' THEN E'\\n' ELSE E'\\n\\n' END ELSE text || E'\\n\\n' END AS s FROM n),
+t AS (SELECT conv_id, string_agg(s, '' ORDER BY turn) AS transcript, count(*) AS n FROM l GROUP BY conv_id)
+SELECT conv_id, transcript FROM t WHERE n >= 2 UNION ALL SELECT conv_id, '[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']' FROM conversations
+WHERE conv_id NOT IN (SELECT conv_id FROM t WHERE n >= 2) GROUP BY conv_id""")
 def chat_normalise(spark, sf_dir):
     """Role/content JSON made from the conversations, through the dispatcher."""
     turns = read(spark, sf_dir, "conversations")
@@ -186,8 +192,8 @@ def delete_drawers(spark, sf_dir):
     return store.without(rows, rows.where("wing = 'fr'").select("id")).select("id")
 
 
-@query("""SELECT source_file, md5(string_agg(line, '' ORDER BY id)) AS source_hash, count(*) AS n FROM (SELECT 'bench/' || source || '.md' AS source_file, lpad(CAST(doc_id AS VARCHAR), 10, '0') AS id,
-lpad(CAST(doc_id AS VARCHAR), 10, '0') || ':' || lang || ':' || source || ':' || text || chr(10) AS line FROM documents) GROUP BY source_file""")
+@query("""SELECT source_file, md5(CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 18, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(count(*) AS VARCHAR)) AS source_hash, count(*) AS n
+FROM (SELECT 'bench/' || source || '.md' AS source_file, md5(lpad(CAST(doc_id AS VARCHAR), 10, '0') || ':' || lang || ':' || source || ':' || text) AS h FROM documents) GROUP BY source_file""")
 def benchmark_index(spark, sf_dir):
     from stratum.plans.bench import hashed_sources
 
@@ -394,12 +400,14 @@ def duplicate_threshold(spark, sf_dir):
     return semantic.duplicates(hits, 0.3).select("qid", "id", F.round("duplicate_score", 6).alias("duplicate_score"))
 
 
-@query(r"""WITH n AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '^\p{Lu}') AND octet_length(encode(x)) > 2) AS names FROM benchmark)
-SELECT item_id, doc_id, round(CASE WHEN len(names) = 0 THEN 0 ELSE len(list_filter(names, lambda x: contains(lower(text), lower(x)))) / len(names) END, 6) AS boost FROM n JOIN documents ON item_id = doc_id % 40""")
+@query(r"""WITH n AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '^\p{Lu}') AND octet_length(encode(x)) > 2) AS names FROM benchmark),
+b AS (SELECT item_id, doc_id, len(list_filter(names, lambda x: contains(lower(text), lower(x)))) / len(names) AS boost FROM n, documents WHERE len(names) > 0)
+SELECT item_id, doc_id, round(boost, 6) AS boost FROM b WHERE boost > 0""")
 def name_boost(spark, sf_dir):
+    """Every benchmark text as a query against every document; pairs without a common name are left out."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").select("item_id", "doc_id", F.round(X.name_boost(F.col("query"), F.col("text")), 6).alias("boost"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    return semantic.name_boosts(docs, items).select("item_id", "doc_id", F.round("boost", 6).alias("boost"))
 
 
 @query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, "
@@ -526,7 +534,7 @@ def _fact_sql(predicate: str, pattern: str, confidence: float) -> str:
     return f"SELECT n, unnest(regexp_extract_all(a, '{p}', 1)) AS s, '{predicate}' AS predicate, unnest(regexp_extract_all(a, '{p}', 2)) AS object, CAST({confidence} AS DOUBLE) AS confidence FROM plain"
 
 
-@query(f"""WITH {LINES_SQL}, plain AS (SELECT n, regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g') AS a FROM texts), found AS ({' UNION ALL '.join(_fact_sql(*f) for f in vocab.FACTS)})
+@query(f"""WITH {TEXTS_SQL}, plain AS (SELECT n, regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g') AS a FROM texts), found AS ({' UNION ALL '.join(_fact_sql(*f) for f in vocab.FACTS)})
 SELECT DISTINCT n, CASE WHEN coalesce(s, '') = '' THEN 'team' ELSE s END AS subject, predicate, object, confidence FROM found""")
 def kg_extract(spark, sf_dir):
     return sentences(spark, sf_dir).select("n", F.inline(X.facts(F.col("s"))))
@@ -535,19 +543,19 @@ def kg_extract(spark, sf_dir):
 # ---- scalars -------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {LINES_SQL}, d AS (SELECT n, coalesce({', '.join(f"nullif(regexp_extract(s, '{p}', 1), '')" for p in vocab.CONTENT_DATES)}, {', '.join(f"nullif(regexp_extract('2019-12-' || CAST(n % 100 AS VARCHAR) || '.md', '{p}', 1), '')" for p in vocab.NAME_DATES)}) AS d FROM texts)
+@query(f"""WITH {TEXTS_SQL}, d AS (SELECT n, coalesce({', '.join(f"nullif(regexp_extract(s, '{p}', 1), '')" for p in vocab.CONTENT_DATES)}, {', '.join(f"nullif(regexp_extract('2019-12-' || CAST(n % 100 AS VARCHAR) || '.md', '{p}', 1), '')" for p in vocab.NAME_DATES)}) AS d FROM texts)
 SELECT n, translate(d, '/_.', '---') AS date FROM d""")
 def infer_date(spark, sf_dir):
     path = F.concat(F.lit("notes/2019-12-"), (F.col("n") % 100).cast("string"), F.lit(".md"))
     return sentences(spark, sf_dir).select("n", X.infer_date(F.col("s"), path).alias("date"))
 
 
-@query(f"WITH {LINES_SQL} SELECT n, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM texts")
+@query(f"WITH {TEXTS_SQL} SELECT n, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM texts")
 def slugify(spark, sf_dir):
     return sentences(spark, sf_dir).select("n", X.slugify(F.col("s")).alias("slug"))
 
 
-@query(f"""WITH {LINES_SQL} SELECT n, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g'), '{vocab.ANCHOR}', 1))), 1, 10), ',') AS terms FROM texts""")
+@query(f"""WITH {TEXTS_SQL} SELECT n, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g'), '{vocab.ANCHOR}', 1))), 1, 10), ',') AS terms FROM texts""")
 def anchor_terms(spark, sf_dir):
     plain = F.regexp_replace("s", "[^\\x00-\\x7F]", "_")
     return sentences(spark, sf_dir).select("n", F.array_join(X.anchor_terms(plain), ",").alias("terms"))
@@ -561,7 +569,7 @@ def anchor_summary(spark, sf_dir):
 _ROOM_SCORES = {room: " + ".join(f"CAST(contains(l, '{t}') AS INT)" for t in terms) for room, terms in vocab.CHAT_ROOMS.items()}
 
 
-@query(f"""WITH {LINES_SQL}, l AS (SELECT n, lower(s) AS l FROM texts), k AS (SELECT n, {', '.join(f'{e} AS {r}' for r, e in _ROOM_SCORES.items())} FROM l)
+@query(f"""WITH {TEXTS_SQL}, l AS (SELECT n, lower(s) AS l FROM texts), k AS (SELECT n, {', '.join(f'{e} AS {r}' for r, e in _ROOM_SCORES.items())} FROM l)
 SELECT n, CASE WHEN greatest({', '.join(vocab.CHAT_ROOMS)}) = 0 THEN 'general' {' '.join(f"WHEN {r} = greatest({', '.join(vocab.CHAT_ROOMS)}) THEN '{r}'" for r in vocab.CHAT_ROOMS)} END AS room FROM k""")
 def convo_room(spark, sf_dir):
     return sentences(spark, sf_dir).select("n", X.chat_room(F.col("s")).alias("room"))
@@ -572,7 +580,7 @@ _HALL = " ".join(
 )
 
 
-@query(f"""WITH {LINES_SQL}, l AS (SELECT n, lower(s) AS l, CASE n % 5 WHEN 0 THEN 'general' WHEN 1 THEN 'design-notes' WHEN 2 THEN 'plans' ELSE 'misc' END AS room, CASE n % 13 WHEN 0 THEN 'my/Journal.md' ELSE 'a.md' END AS f FROM texts)
+@query(f"""WITH {TEXTS_SQL}, l AS (SELECT n, lower(s) AS l, CASE n % 5 WHEN 0 THEN 'general' WHEN 1 THEN 'design-notes' WHEN 2 THEN 'plans' ELSE 'misc' END AS room, CASE n % 13 WHEN 0 THEN 'my/Journal.md' ELSE 'a.md' END AS f FROM texts)
 SELECT n, CASE WHEN contains(room, 'diary') OR contains(lower(f), 'diary') OR contains(lower(f), 'journal') THEN 'hall_events' {_HALL} WHEN room = 'general' THEN 'hall_events' ELSE 'hall_facts' END AS hall FROM l""")
 def hall_cascade(spark, sf_dir):
     room = F.when(F.col("n") % 5 == 0, "general").when(F.col("n") % 5 == 1, "design-notes").when(F.col("n") % 5 == 2, "plans").otherwise("misc")
@@ -587,7 +595,7 @@ _CHAT_HALL = (
 )
 
 
-@query(f"""WITH {LINES_SQL}, l AS (SELECT n, lower(s) AS l, CASE n % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'technical' WHEN 2 THEN 'planning' ELSE 'emotional' END AS room FROM texts)
+@query(f"""WITH {TEXTS_SQL}, l AS (SELECT n, lower(s) AS l, CASE n % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'technical' WHEN 2 THEN 'planning' ELSE 'emotional' END AS room FROM texts)
 SELECT n, CASE {_CHAT_HALL} ELSE 'hall_events' END AS hall FROM l""")
 def chat_hall(spark, sf_dir):
     room = F.when(F.col("n") % 4 == 0, "general").when(F.col("n") % 4 == 1, "technical").when(F.col("n") % 4 == 2, "planning").otherwise("emotional")
@@ -598,16 +606,17 @@ def _marker_sql(patterns: list[str]) -> str:
     return " + ".join("len(regexp_extract_all(l, '" + p.replace("'", "''") + "'))" for p in patterns)
 
 
-@query(f"WITH {LINES_SQL}, l AS (SELECT n, regexp_replace(lower(s), '[^\\x00-\\x7F]', '_', 'g') AS l FROM texts) SELECT n, {', '.join(f'CAST({_marker_sql(p)} AS BIGINT) AS {k}' for k, p in vocab.MARKERS.items())} FROM l")
+@query(f"WITH {TEXTS_SQL}, l AS (SELECT n, regexp_replace(lower(s), '[^\\x00-\\x7F]', '_', 'g') AS l FROM texts) SELECT n, {', '.join(f'CAST({_marker_sql(p)} AS BIGINT) AS {k}' for k, p in vocab.MARKERS.items())} FROM l")
 def marker_scores(spark, sf_dir):
     plain = F.regexp_replace("s", "[^\\x00-\\x7F]", "_")
     return sentences(spark, sf_dir).select("n", *(c.cast("long").alias(k) for k, c in X.marker_scores(plain).items()))
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS own FROM documents WHERE NOT contains(text, chr(13)) AND text NOT LIKE ('%' || chr(10) || chr(10))),
-g AS (SELECT doc_id, own, unnest(range(0, CAST(ceil(len(own) / 25.0) AS BIGINT))) AS i FROM l) SELECT doc_id, i, array_to_string(list_slice(own, i * 25 + 1, i * 25 + 25), chr(10)) AS lines FROM g""")
+@query(r"""WITH l AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS own FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, CASE WHEN own[-1] = '' THEN own[:-2] ELSE own END AS own FROM l),
+g AS (SELECT doc_id, own, unnest(range(0, CAST(ceil(len(own) / 25.0) AS BIGINT))) AS i FROM m) SELECT doc_id, i, array_to_string(list_slice(own, i * 25 + 1, i * 25 + 25), chr(10)) AS lines FROM g""")
 def line_groups_25(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("not contains(text, '\\r') and not endswith(text, '\\n\\n') and text is not null")
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(X.line_groups(F.col("text"))).alias("i", "lines")).withColumn("i", F.col("i").cast("long"))
 
 
@@ -620,7 +629,7 @@ _CODES = lambda signals: "array_to_string(list_slice(list_filter([" + ", ".join(
     f"CASE WHEN contains(l, '{w}')" + "".join(f" AND NOT contains(l, '{v}')" for v, d in signals[:i] if d == c) + f" THEN '{c}' END" for i, (w, c) in enumerate(signals)) + "], lambda x: x IS NOT NULL), 1, 3), '+')"
 
 
-@query(f"WITH {LINES_SQL}, l AS (SELECT n, lower(s) AS l FROM texts) SELECT n, {_CODES(vocab.EMOTIONS)} AS emotions, {_CODES(vocab.FLAGS)} AS flags FROM l")
+@query(f"WITH {TEXTS_SQL}, l AS (SELECT n, lower(s) AS l FROM texts) SELECT n, {_CODES(vocab.EMOTIONS)} AS emotions, {_CODES(vocab.FLAGS)} AS flags FROM l")
 def emotions_flags(spark, sf_dir):
     return sentences(spark, sf_dir).select("n", *(F.array_join(X.first_codes(F.col("s"), v), "+").alias(c) for c, v in (("emotions", vocab.EMOTIONS), ("flags", vocab.FLAGS))))
 
@@ -629,14 +638,14 @@ def emotions_flags(spark, sf_dir):
 f AS (SELECT doc_id, lower(w) AS w, sum(1 + CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(w, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS n FROM w WHERE lower(w) NOT IN ({', '.join(f"'{x}'" for x in vocab.STOP_WORDS)}) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM f) SELECT d.doc_id, coalesce(string_agg(w, '_' ORDER BY r) FILTER (r <= 3), '') AS topics FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
 def topic_top3(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(X.topics(F.col("text")), "_").alias("topics"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(topics_of(F.col("text")), "_").alias("topics"))
 
 
 @query(rf"""WITH p AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.!?\n]+')), E' \t\r\n') AS s, generate_subscripts(string_split_regex(text, '[.!?\n]+'), 1) AS i FROM documents),
 k AS (SELECT doc_id, s, i, {' + '.join(f"2 * CAST(contains(lower(s), '{c}') AS INT)" for c in vocab.CUES)} + CAST(octet_length(encode(s)) < 80 AS INT) + CAST(octet_length(encode(s)) < 40 AS INT) - 2 * CAST(octet_length(encode(s)) > 150 AS INT) AS n FROM p WHERE octet_length(encode(s)) > 10),
 b AS (SELECT doc_id, arg_max(s, n * 1000000 - i) AS s FROM k GROUP BY doc_id) SELECT d.doc_id, coalesce(CASE WHEN octet_length(encode(s)) > 55 THEN substr(s, 1, 52) || '...' ELSE s END, '') AS sentence FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id""")
 def key_sentence(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.key_sentence(F.col("text")).alias("sentence"))
+    return read(spark, sf_dir, "documents").select("doc_id", key_sentence_of(F.col("text")).alias("sentence"))
 
 
 @query("""WITH w AS (SELECT item_id, regexp_extract_all(text, '[a-z]+') AS w FROM benchmark) SELECT item_id, CASE WHEN len(w) < 3 THEN '' ELSE array_to_string(list_transform(range(1, len(w) - 1), lambda i: w[i] || '::' || w[i + 1] || '::' || w[i + 2]), ' ') END AS grams FROM w""")
@@ -668,7 +677,7 @@ def file_chunks(spark, sf_dir):
 @query()
 def chat_chunks(spark, sf_dir):
     made = chats.transcripts(read(spark, sf_dir, "conversations"), ["conv_id"])
-    return made.select("conv_id", F.posexplode(X.exchanges(F.col("transcript"))).alias("chunk_index", "content"))
+    return made.select("conv_id", F.posexplode(exchanges_of(F.col("transcript"))).alias("chunk_index", "content"))
 
 
 @query()
@@ -682,7 +691,18 @@ def derived_artifacts(spark, sf_dir):
     return artifacts.expand(rows, artifacts.of_text(F.col("s"), F.lit("architecture"), X.infer_date(F.col("s")), F.lit("a/notes.md"), chat=True)).select("n", "place", "artifact.*")
 
 
-@query()
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{vocab.TOPIC}')) AS w FROM documents),
+f AS (SELECT doc_id, lower(w) AS w, sum(1 + CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(w, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS n FROM w WHERE lower(w) NOT IN ({', '.join(f"'{x}'" for x in vocab.STOP_WORDS)}) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM f), topic AS (SELECT doc_id, string_agg(w, '_' ORDER BY r) AS topics FROM r WHERE r <= 3 GROUP BY doc_id),
+p AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.!?\n]+')), E' \t\r\n') AS s, generate_subscripts(string_split_regex(text, '[.!?\n]+'), 1) AS i FROM documents),
+k AS (SELECT doc_id, s, i, {' + '.join(f"2 * CAST(contains(lower(s), '{c}') AS INT)" for c in vocab.CUES)} + CAST(octet_length(encode(s)) < 80 AS INT) + CAST(octet_length(encode(s)) < 40 AS INT) - 2 * CAST(octet_length(encode(s)) > 150 AS INT) AS n FROM p WHERE octet_length(encode(s)) > 10),
+key AS (SELECT doc_id, arg_max(s, n * 1000000 - i) AS s FROM k GROUP BY doc_id),
+name AS (SELECT doc_id, unnest(regexp_extract_all(t, '\b[A-Z][a-z]+\b')) AS x, generate_subscripts(regexp_extract_all(t, '\b[A-Z][a-z]+\b'), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS t FROM documents)),
+code AS (SELECT doc_id, upper(substr(x, 1, 3)) AS c, min(i) AS i FROM name GROUP BY 1, 2), ent AS (SELECT doc_id, string_agg(c, '+' ORDER BY i) AS e FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM code) WHERE r <= 3 GROUP BY doc_id),
+l AS (SELECT doc_id, lang, source, lower(text) AS l FROM documents), c AS (SELECT doc_id, lang, source, {_CODES(vocab.EMOTIONS)} AS emotions, {_CODES(vocab.FLAGS)} AS flags FROM l)
+SELECT c.doc_id, lang || '|' || source || '|?|b' || chr(10) || '0:' || coalesce(e, '???') || '|' || coalesce(topics, 'misc') || CASE WHEN coalesce(s, '') = '' THEN '' ELSE '|"' || CASE WHEN octet_length(encode(s)) > 55 THEN substr(s, 1, 52) || '...' ELSE s END || '"' END
+  || CASE WHEN emotions = '' THEN '' ELSE '|' || emotions END || CASE WHEN flags = '' THEN '' ELSE '|' || flags END AS line
+FROM c LEFT JOIN topic ON topic.doc_id = c.doc_id LEFT JOIN key ON key.doc_id = c.doc_id LEFT JOIN ent ON ent.doc_id = c.doc_id""")
 def dialect_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.compressed(F.col("text"), F.col("lang"), F.col("source"), None, F.lit("a/b.md")).alias("line"))
 

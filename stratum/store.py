@@ -1,8 +1,16 @@
-"""A store of Parquet snapshots: each change writes the table anew beside the old one, and a
-pointer file names the current snapshot. Readers keep the snapshot they opened; one writer at a time."""
+"""A store of Parquet snapshots under numbered manifests.
+
+A change writes the tables that it touches anew beside the old ones, then one manifest that names the
+snapshot of every table, and so takes effect for all of them at once. A manifest is written under another
+name, closed, and renamed to a number that none has; what is there is never moved or deleted before. The
+current one is the complete manifest of the highest number, so a crash at any step leaves the store as it
+was. Readers keep the snapshots they opened: those of the manifest before stay until the next change.
+One writer at a time: of two the later finds its number taken, and fails."""
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,64 +64,98 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.path}/{table}/CURRENT")
-        if not fs.exists(p):
-            return None
+    def _manifests(self) -> list[int]:
+        """Numbers of the complete manifests, ascending."""
+        fs, folder = self._fs(f"{self.path}/manifests")
+        if not fs.exists(folder):
+            return []
+        found = [re.fullmatch(r"([0-9]+)\.json", status.getPath().getName()) for status in fs.listStatus(folder)]
+        return sorted(int(m[1]) for m in found if m)
+
+    def _tables(self, number: int) -> dict[str, str]:
+        """The snapshot of every table under a manifest."""
+        fs, p = self._fs(f"{self.path}/manifests/{number}.json")
         reader = fs.open(p)
         try:
-            return bytes(reader.readAllBytes()).decode()
+            return json.loads(bytes(reader.readAllBytes()).decode())
         finally:
             reader.close()
 
     def read(self, table: str) -> DataFrame:
         """The current snapshot; an empty table before the first write."""
-        name = self._pointer(table)
+        numbers = self._manifests()
+        name = self._tables(numbers[-1]).get(table) if numbers else None
         if name is None:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{name}")
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """Make ``rows`` the current snapshot. Drawers are laid out by wing, so that a wing's scan reads that wing."""
+        self.write_all({table: rows})
+
+    def write_all(self, changed_tables: dict[str, DataFrame]) -> None:
+        """Make these rows the current snapshots of their tables, all at once. Drawers are laid out by wing, so that a wing's scan reads that wing."""
+        numbers = self._manifests()
+        tables = self._tables(numbers[-1]) if numbers else {}
+        for table, rows in changed_tables.items():
+            tables[table] = self._snapshot(table, rows)
+        self._publish(numbers[-1] + 1 if numbers else 1, tables)
+        self._prune()
+
+    def _snapshot(self, table: str, rows: DataFrame) -> str:
         name = f"snapshot-{uuid.uuid4().hex}"
-        kinds = TABLES[table]
-        writer = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds)).write
-        (writer.partitionBy("wing") if table == "drawers" else writer).parquet(f"{self.path}/{table}/{name}")
-        old = self._pointer(table)
-        fs, draft = self._fs(f"{self.path}/{table}/CURRENT.{name}")
-        out = fs.create(draft, True)
-        out.write(bytearray(name.encode()))
+        rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table]))
+        if table == "drawers":  # rows of a wing meet in few tasks; adaptive execution splits a large wing
+            rows.hint("rebalance", "wing").write.partitionBy("wing").parquet(f"{self.path}/{table}/{name}")
+        else:
+            rows.write.parquet(f"{self.path}/{table}/{name}")
+        return name
+
+    def _publish(self, number: int, tables: dict[str, str]) -> None:
+        fs, draft = self._fs(f"{self.path}/manifests/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(tables).encode()))
         out.close()
-        _, current = self._fs(f"{self.path}/{table}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(draft, current)
-        self._prune(table, {name, old})
-
-    def _prune(self, table: str, keep: set) -> None:
-        """Snapshots before the previous one are deleted; the previous one may still have readers."""
-        fs, folder = self._fs(f"{self.path}/{table}")
-        for status in fs.listStatus(folder):
-            if status.isDirectory() and status.getPath().getName() not in keep:
-                fs.delete(status.getPath(), True)
-
-    def refresh(self, batch: DataFrame, vectors: DataFrame | None = None) -> int:
-        """Upsert a batch of planned rows, retire what it supersedes and record the revisions. Returns the rows of the batch."""
+        _, final = self._fs(f"{self.path}/manifests/{number}.json")
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer has changed the store {self.path}")
+
+    def _prune(self) -> None:
+        """Once a manifest stands, what neither it nor the one before names is deleted."""
+        numbers = self._manifests()
+        keep = [self._tables(n) for n in numbers[-2:]]
+        for table in TABLES:
+            fs, folder = self._fs(f"{self.path}/{table}")
+            for status in fs.listStatus(folder) if fs.exists(folder) else ():
+                if status.getPath().getName() not in {tables.get(table) for tables in keep}:
+                    fs.delete(status.getPath(), True)
+        for n in numbers[:-2]:
+            fs, p = self._fs(f"{self.path}/manifests/{n}.json")
+            fs.delete(p, False)
+
+    def refresh(self, batch: DataFrame, vectors: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> int:
+        """Upsert a batch of planned rows, retire what it supersedes and record the revisions, with ``more`` tables in one
+        change. Returns the rows of the batch."""
         batch = batch.withColumn("active", F.lit(True)).cache()
         n = batch.count()
-        self.write("drawers", merged(self.read("drawers"), batch.select(schema.DRAWERS.names)))
-        if vectors is not None:
-            self.write("vectors", without(self.read("vectors"), vectors, "drawer_id").unionByName(vectors.select(schema.VECTORS.names)))
         log = batch.where("source_hash is not null").select("source_file", "source_hash", F.col("filed_at").alias("updated_at")).distinct()
-        self.write("revisions", latest_revisions(self.read("revisions").unionByName(log)))
+        tables = {"drawers": merged(self.read("drawers"), batch.select(schema.DRAWERS.names)), "revisions": latest_revisions(self.read("revisions").unionByName(log))}
+        if vectors is not None:
+            tables["vectors"] = without(self.read("vectors"), vectors, "drawer_id").unionByName(vectors.select(schema.VECTORS.names))
+        self.write_all(tables | (more or {}))
         batch.unpersist()
         return n
 
+    def retire_source(self, source_file: str) -> None:
+        """All rows of a source become inactive."""
+        rows = self.read("drawers")
+        self.write("drawers", rows.withColumn("active", F.col("active") & ~F.col("source_file").eqNullSafe(F.lit(source_file))))
+
     def delete(self, ids: list[str]) -> int:
         rows = self.read("drawers")
         n = rows.where(F.col("id").isin(ids)).count()
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        self.write("drawers", without(rows, gone))
-        self.write("vectors", without(self.read("vectors"), gone.withColumnRenamed("id", "drawer_id"), "drawer_id"))
+        self.write_all({"drawers": without(rows, gone), "vectors": without(self.read("vectors"), gone.withColumnRenamed("id", "drawer_id"), "drawer_id")})
         return n
 
     def views(self) -> None:

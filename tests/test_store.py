@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratum import schema
@@ -64,3 +65,54 @@ def test_one_open_fact_at_most(spark, tmp_path):
     assert [(r.direction, r.object, r.current) for r in found] == [("outgoing", "Ra", False)]
     assert kg.query(store.read("triples"), store.read("entities"), "kai b", direction="sideways").count() == 0
     assert [r.current for r in kg.timeline(store.read("triples"), store.read("entities"), "Ra").collect()] == [False, True]
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_snapshot", "_publish", "_prune"])
+@pytest.mark.parametrize("call", [1, 2, 3])
+def test_a_crash_at_any_step_leaves_a_whole_store(spark, tmp_path, monkeypatch, step, call):
+    """Before the manifest stands all tables are as they were; after it, all are as they become."""
+    store = Store(spark, str(tmp_path / "s"))
+    vectors = lambda *ids: spark.createDataFrame([(i, [1.0], "b") for i in ids], schema.VECTORS)
+    store.refresh(rows(spark, [("a1", "a", "h1", "x")]), vectors("a1"))
+    calls, real = [], getattr(Store, step)
+
+    def broken(self, *args):
+        calls.append(args)
+        if len(calls) == call:
+            if step == "_publish":  # a draft is left behind
+                fs, draft = self._fs(f"{self.path}/manifests/draft-x")
+                fs.create(draft, False).close()
+            raise Crash
+        return real(self, *args)
+
+    monkeypatch.setattr(Store, step, broken)
+    done = step == "_prune" or call > {"_snapshot": 3, "_publish": 1}[step]
+    if call == 1 or step == "_snapshot":
+        with pytest.raises(Crash):
+            store.refresh(rows(spark, [("a2", "a", "h2", "y")]), vectors("a2"))
+    else:
+        store.refresh(rows(spark, [("a2", "a", "h2", "y")]), vectors("a2"))
+        done = True
+    monkeypatch.undo()
+    again = Store(spark, store.path)
+    state = lambda: (active(again), sorted(r.drawer_id for r in again.read("vectors").collect()), {r.source_file: r.source_hash for r in again.read("revisions").collect()})
+    assert state() == ((["a2"], ["a1", "a2"], {"a": "h2"}) if done else (["a1"], ["a1"], {"a": "h1"}))
+    again.refresh(rows(spark, [("a3", "a", "h3", "z")]), vectors("a3"))
+    assert state() == (["a3"], ["a1", "a2", "a3"] if done else ["a1", "a3"], {"a": "h3"})
+
+
+def test_a_second_writer_fails_and_readers_keep_their_snapshot(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.refresh(rows(spark, [("a1", "a", "h1", "x")]))
+    old = store.read("drawers")
+    store.refresh(rows(spark, [("b1", "b", "h1", "x")]))
+    assert old.count() == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(2, {})
+    assert active(store) == ["a1", "b1"]
+    store.retire_source("a")
+    assert active(store) == ["b1"]

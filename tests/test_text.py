@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.functions import embed, stem, vocab
+from stratum.functions import embed, passages, stem, vocab
 from stratum.functions import text as X
 from stratum.functions.chunk import split_text
 from stratum.operators import artifacts, lexical
@@ -78,13 +78,20 @@ def test_memories(spark):
     assert got == [("preference", 0.6), ("decision", 0.8), ("milestone", 0.8)]
 
 
-def test_segments_and_exchanges(spark):
+def test_segments_and_exchanges():
     chat = "intro\n> one question here that is long enough\nanswer a\n\nanswer b\n---\nignored\n> two is long enough to be kept on its own\n> three\n"
-    assert one(spark, X.exchanges(F.lit(chat))) == ["> one question here that is long enough\nanswer a answer b", "> two is long enough to be kept on its own"]
+    assert passages.exchanges(chat) == ["> one question here that is long enough\nanswer a answer b", "> two is long enough to be kept on its own"]
     lines = "\n".join(f"line number {i}" for i in range(60))
-    assert [len(s.split("\n")) for s in one(spark, X.exchanges(F.lit(lines)))] == [25, 25, 10]
-    assert one(spark, X.segments(F.lit("Human: hi\nAI: yes\nmore\nUser: bye"))) == ["Human: hi", "AI: yes\nmore", "User: bye"]
-    assert one(spark, X.segments(F.lit("a\n\n b \n\n"))) == ["a", "b"] and one(spark, X.segments(F.lit(""))) == []
+    assert [len(s.split("\n")) for s in passages.exchanges(lines)] == [25, 25, 10]
+    assert passages.segments("Human: hi\nAI: yes\nmore\nUser: bye") == ["Human: hi", "AI: yes\nmore", "User: bye"]
+    assert passages.segments("a\n\n b \n\n") == ["a", "b"] and passages.segments("") == []
+
+
+def test_nulls_and_long_texts(spark):
+    df = spark.createDataFrame([(None,), ("",), ("> a\r\n" * 30_000,), ("x" * 200_000,)], "t string")
+    for f in (passages.exchanges_of, passages.memories_of, passages.topics_of, passages.key_sentence_of, passages.dialect_of):
+        got = [r[0] for r in df.select(f("t")).collect()]
+        assert got[0] is None and all(x is not None for x in got[1:])
 
 
 def test_artifacts_of_a_decision(spark):
