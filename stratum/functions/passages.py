@@ -17,7 +17,18 @@ from stratum.schema import GROUP_LINES, MIN_CHAT_CHUNK
 #: Characters of the Unicode property White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TURN, CODE = re.compile(vocab.TURN_LINE), re.compile(vocab.CODE_LINE)
-MARKERS = {kind: [re.compile(p) for p in patterns] for kind, patterns in vocab.MARKERS.items()}
+
+def beginnings(pattern: str) -> list[str]:
+    """Texts one of which every match of a pattern of the vocabulary begins with."""
+    body = pattern.removeprefix(r"\b")
+    if body.startswith("("):
+        return body[1 : body.index(")")].split("|")
+    own = re.match("[a-z' -]*", body)[0]
+    return [own[:-1] if body[len(own) :].startswith("?") else own]
+
+
+#: Of each memory type the patterns, and the texts without which they cannot match.
+MARKERS = {kind: [(beginnings(p), re.compile(p)) for p in patterns] for kind, patterns in vocab.MARKERS.items()}
 POSITIVE, NEGATIVE, STOP = frozenset(vocab.POSITIVE), frozenset(vocab.NEGATIVE), frozenset(vocab.STOP_WORDS)
 WORD, TOPIC, NAME = re.compile(r"\w+"), re.compile(vocab.TOPIC), re.compile(r"\b[A-Z][a-z]+\b")
 COMPOUND, SENTENCE = re.compile("[_-]|^.+[A-Z]"), re.compile(r"[.!?\n]+")
@@ -102,7 +113,7 @@ def prose(text: str) -> str:
 def memory(segment: str) -> tuple[str, float] | None:
     """Type and confidence of a segment; None where no marker is found."""
     low = prose(segment).lower()
-    scores = {kind: sum(len(p.findall(low)) for p in patterns) for kind, patterns in MARKERS.items()}
+    scores = {kind: sum(len(p.findall(low)) for first, p in patterns if any(x in low for x in first)) for kind, patterns in MARKERS.items()}
     kind = max(scores, key=scores.get)  # of equal ones the first
     if not scores[kind]:
         return None

@@ -114,13 +114,13 @@ def artifact_hall(room: Column, kind: Column, content: Column, context_room: Col
 
 def chat_room(content: Column) -> Column:
     """The room with most of its terms in the content; the first of equal ones; general without any."""
-    low = F.lower(content)
-    scores = [(room, sum(low.contains(t).cast("int") for t in terms)) for room, terms in vocab.CHAT_ROOMS.items()]
-    best = F.greatest(*(s for _, s in scores))
-    out = F.when(best == 0, "general")
-    for room, s in scores:
-        out = out.when(s == best, room)
-    return out
+    def scores(low: Column) -> Column:
+        return F.array(*(sum(low.contains(t).cast("int") for t in terms) for terms in vocab.CHAT_ROOMS.values()))
+
+    def best(s: Column) -> Column:
+        return F.when(F.array_max(s) == 0, "general").otherwise(F.get(F.array(*map(F.lit, vocab.CHAT_ROOMS)), (F.array_position(s, F.array_max(s)) - 1).cast("int")))
+
+    return let(let(F.lower(content), scores), best)
 
 
 def wing_name(path: Column, fallback: str = "default") -> Column:

@@ -48,5 +48,6 @@ def of_text(content: Column, context_room: Column, date: Column, source_file: Co
 
 
 def expand(rows: DataFrame, artifacts: Column) -> DataFrame:
-    """One row per artifact, with its place."""
-    return rows.withColumn("_a", artifacts).select(*rows.columns, F.posexplode("_a").alias("place", "artifact"))
+    """One row per artifact, with its place. (Exploded as an expression: of a column the optimizer would infer that it is
+    not empty, and compute it again for that.)"""
+    return rows.select(*rows.columns, F.posexplode(artifacts).alias("place", "artifact"))

@@ -60,7 +60,7 @@ def _raw(rows: DataFrame, suffix: str = "") -> DataFrame:
 
 
 def _artifacts(rows: DataFrame, made: Column) -> DataFrame:
-    own = rows.withColumn("_a", made).select("source_file", "source_hash", "date", F.posexplode("_a").alias("place", "x"))
+    own = rows.select("source_file", "source_hash", "date", F.posexplode(made).alias("place", "x"))
     own = own.select("source_file", "source_hash", "date", (F.col("place") + schema.ARTIFACT_OFFSET).alias("chunk_index"), "x.*")
     key = F.concat_ws(":", "source_file", F.lit("artifact"), F.col("chunk_index").cast("string"), "source_hash")
     return own.withColumn("id", F.substring(F.md5(key), 1, 16))
@@ -71,7 +71,7 @@ def project_plan(found: DataFrame, config: ProjectConfig, agent: str = "stratum"
     own = found.where(F.octet_length(X.strip(F.col("content"))) >= schema.MIN_CHUNK).withColumn("source_hash", F.md5("content"))
     own = own.withColumn("room", file_room(F.col("source_file"), F.col("content"), config.rooms)).withColumn("date", X.infer_date(F.col("content"), F.col("source_file")))
     own = own.withColumn("hall", X.file_hall(F.col("room"), F.col("content"), F.col("source_file")))
-    chunks = own.withColumn("_c", chunk_text("content")).select("source_file", "source_hash", "room", "hall", "date", F.posexplode("_c").alias("chunk_index", "content"))
+    chunks = own.select("source_file", "source_hash", "room", "hall", "date", F.posexplode(chunk_text("content")).alias("chunk_index", "content"))
     raw = _raw(chunks.withColumn("drawer_type", F.lit(schema.DRAWER)))
     made = _artifacts(own, artifacts.of_text(F.col("content"), F.col("room"), F.col("date"), F.col("source_file")))
     wing = F.lit(config.wing)
@@ -84,11 +84,11 @@ def chat_plan(found: DataFrame, wing: str, agent: str = "stratum", general: bool
     own = own.where(F.octet_length(X.strip(F.col("content"))) >= schema.MIN_CHAT_CHUNK).withColumn("date", X.infer_date(F.col("content"), F.col("source_file")))
     base = ["source_file", "source_hash", "date"]
     if general:
-        rows = own.withColumn("_m", artifacts.memories(F.col("content"))).select(*base, F.posexplode("_m").alias("chunk_index", "m"))
+        rows = own.select(*base, F.posexplode(artifacts.memories(F.col("content"))).alias("chunk_index", "m"))
         rows = rows.select(*base, "chunk_index", F.col("m.content").alias("content"), F.col("m.memory_type").alias("room"), F.lit("derived_memory").alias("drawer_type"))
         raw = _raw(rows.withColumn("hall", X.chat_hall(F.col("room"), F.col("content"), F.col("source_file"), True)), "general")
     else:
-        rows = own.withColumn("_c", exchanges_of(F.col("content"))).select(*base, F.posexplode("_c").alias("chunk_index", "content"))
+        rows = own.select(*base, F.posexplode(exchanges_of(F.col("content"))).alias("chunk_index", "content"))
         rows = rows.withColumn("room", X.chat_room(F.col("content"))).withColumn("drawer_type", F.lit(schema.DRAWER))
         raw = _raw(rows.withColumn("hall", X.chat_hall(F.col("room"), F.col("content"), F.col("source_file"))))
     made = _artifacts(own, artifacts.of_text(F.col("content"), X.chat_room(F.col("content")), F.col("date"), F.col("source_file"), chat=True))

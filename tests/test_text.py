@@ -87,6 +87,19 @@ def test_segments_and_exchanges():
     assert passages.segments("a\n\n b \n\n") == ["a", "b"] and passages.segments("") == []
 
 
+def test_beginnings_of_patterns():
+    """Every match begins with one of the texts found for its pattern."""
+    for patterns in vocab.MARKERS.values():
+        for p in patterns:
+            first = passages.beginnings(p)
+            assert all(first) and not any(re.search("[^a-z' -]", x) for x in first)
+    assert passages.beginnings(r"\blet'?s (use|try)\b") == ["let"] and passages.beginnings(r"\b(bug|error)\b") == ["bug", "error"] and passages.beginnings(r"\bdon'?t x") == ["don"]
+    everything = "let's use lets try we should trade-off tradeoff i like to figured it out figured out the fix was doesn't work doesnt work i'm sorry"
+    for patterns in passages.MARKERS.values():
+        for first, p in patterns:
+            assert not p.search(everything) or any(x in everything for x in first)
+
+
 def test_nulls_and_long_texts(spark):
     df = spark.createDataFrame([(None,), ("",), ("> a\r\n" * 30_000,), ("x" * 200_000,)], "t string")
     for f in (passages.exchanges_of, passages.memories_of, passages.topics_of, passages.key_sentence_of, passages.dialect_of):
