@@ -1,18 +1,26 @@
-"""Full-text search with bm25 over posting tables.
+"""Full-text search with bm25.
 
 Every word of a query must occur as a prefix; a word with - or _ is a phrase whose last part
 is a prefix. Statistics are over all active rows, whatever the scope of a search."""
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import text as X
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Distinct phrases of queries that are sent to the rows at a time.
+MOST_PHRASES = 100_000
+WORD = re.compile(r"[^\W_]+")
 
 
 def _accents() -> tuple[str, str]:
@@ -31,11 +39,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(drawers: DataFrame) -> DataFrame:
-    """id, token, pos of every word of active drawers."""
-    return drawers.where("active").select("id", F.posexplode(words(F.col("content"))).alias("pos", "token"))
-
-
 def doc_stats(drawers: DataFrame) -> DataFrame:
     """id and number of words."""
     return drawers.where("active").select("id", F.size(words(F.col("content"))).alias("dl"))
@@ -53,36 +56,80 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return parts.where(F.size("parts") > 0).select("qid", "parts").distinct()
 
 
-def phrase_counts(post: DataFrame, phrases: DataFrame) -> DataFrame:
-    """parts, id, f: occurrences of each phrase in each row. The last part matches as a prefix: the vocabulary's
-    prefixes are joined to the distinct parts, so equality joins suffice. ``phrases``: distinct parts."""
-    last = phrases.select("parts", F.element_at("parts", -1).alias("prefix"), F.size("parts").alias("k"))
-    wanted = last.select("prefix").distinct()
-    vocabulary = post.select("token").distinct()
-    prefixes = vocabulary.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n")).select("token", F.substring("token", F.lit(1), F.col("n")).alias("prefix"))
-    expanded = prefixes.join(wanted, "prefix")
-    single = last.where("k = 1").join(expanded, "prefix").join(post, "token").groupBy("parts", "id").agg(F.count("*").alias("f"))
-    several = last.where("k > 1").select("parts", "k", F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("i", "part"))
-    heads = several.join(post, several.part == post.token).select("parts", "k", "id", (F.col("pos") - F.col("i")).alias("start"))
-    tails = last.where("k > 1").join(expanded, "prefix").join(post, "token").select("parts", "k", "id", (F.col("pos") - F.col("k") + 1).alias("start"))
-    whole = heads.union(tails).groupBy("parts", "k", "id", "start").agg(F.count("*").alias("n")).where("n = k")
-    return single.union(whole.groupBy("parts", "id").agg(F.count("*").alias("f")))
+class Phrases:
+    """Distinct phrases (lists of parts), found in one pass over the words of a text. The last part matches as a prefix."""
+
+    def __init__(self, phrases: list[list[str]]):
+        self.prefixes = {p[0]: i for i, p in enumerate(phrases) if len(p) == 1}
+        self.sizes = sorted({len(p) for p in self.prefixes})
+        self.several: dict[str, list[tuple[int, list[str]]]] = {}
+        for i, p in enumerate(phrases):
+            if len(p) > 1:
+                self.several.setdefault(p[0], []).append((i, p))
+
+    def counts(self, words: list[str]) -> Counter:
+        out: Counter = Counter()
+        for word, n in Counter(words).items():
+            for size in self.sizes:
+                if size > len(word):
+                    break
+                if (i := self.prefixes.get(word[:size])) is not None:
+                    out[i] += n
+        if self.several:
+            for at, word in enumerate(words):
+                for i, p in self.several.get(word, ()):
+                    end = at + len(p) - 1
+                    if end < len(words) and words[at:end] == p[:-1] and words[end].startswith(p[-1]):
+                        out[i] += 1
+        return out
+
+
+def matches(drawers: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """id, dl (number of words), phrase (its number) and f (how often it occurs) for every active row and phrase in it;
+    a row of phrase -1 for every active row. ``phrases`` are a stated set that is sent to the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Phrases(phrases)
+        for batch in batches:
+            at, sizes, numbers, often = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = WORD.findall(text or "")
+                for phrase, f in ((-1, 0), *own.counts(found).items()):
+                    at.append(i)
+                    sizes.append(len(found))
+                    numbers.append(phrase)
+                    often.append(f)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), pa.array(often, pa.int32())], ["id", "dl", "phrase", "f"])
+
+    rows = drawers.where("active").select("id", folded(F.col("content")).alias("text"))
+    return rows.mapInArrow(run, f"id {dict(drawers.dtypes)['id']}, dl int, phrase int, f int")
 
 
 def search(drawers: DataFrame, queries: DataFrame, k: int, wing: str | None = None, room: str | None = None) -> DataFrame:
-    """qid, id, bm25 (negative, least first), lexical_rank (from 1) of the best k rows for each query (qid, query)."""
-    post = postings(drawers)
-    stats = doc_stats(drawers)
+    """qid, id, bm25 (negative, least first), lexical_rank (from 1) of the best k rows for each query (qid, query).
+
+    The rows are scanned twice: for the statistics, of which a number per phrase comes to the driver, and for the
+    scores. Only words that a query asks for leave the scan. Queries are a stated set, taken in blocks of phrases."""
+    spark = drawers.sparkSession
     phrases = query_phrases(queries)
     need = phrases.groupBy("qid").agg(F.count("*").alias("need"))
-    counts = phrase_counts(post, phrases.select("parts").distinct())
-    corpus = corpus_stats(stats)
-    df = counts.groupBy("parts").agg(F.count("*").alias("n"))
-    hits = phrases.join(counts, "parts").join(df, "parts").join(stats, "id").join(F.broadcast(corpus))  # corpus: one row
-    idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("matched")).join(need, "qid").where("matched = need")
+    known = [r.parts for r in phrases.select("parts").distinct().collect()]
+    out = None
+    for at in range(0, max(1, len(known)), MOST_PHRASES):
+        block = known[at : at + MOST_PHRASES]
+        found = matches(drawers, block)
+        sums = {r.phrase: r for r in found.groupBy("phrase").agg(F.count("*").alias("n"), F.avg("dl").alias("dl")).collect()}
+        n_rows, mean = (sums[-1].n, sums[-1].dl) if -1 in sums else (0, 1.0)
+        weights = []
+        for i, parts in enumerate(block):
+            if i in sums:
+                idf = math.log((n_rows - sums[i].n + 0.5) / (sums[i].n + 0.5))
+                weights.append((i, parts, idf if idf > 0 else LEAST_IDF))
+        asked = phrases.join(F.broadcast(spark.createDataFrame(weights, "phrase int, parts array<string>, idf double")), "parts").select("qid", "phrase", "idf")
+        part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+        own = found.where("phrase >= 0").join(asked, "phrase").select("qid", "id", part.alias("part"))
+        out = own if out is None else out.union(own)
+    scored = out.groupBy("qid", "id").agg((-F.sum("part")).alias("bm25"), F.count("*").alias("matched")).join(need, "qid").where("matched = need")
     if wing is not None or room is not None:
         from stratum.operators.drawers import scoped
 

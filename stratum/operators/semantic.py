@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.functions import text as X
+from stratum.functions.passages import WHITE
+from stratum.functions.stem import terms
 from stratum.operators.drawers import first_chunks, is_derived
 
 LEXICAL_RANK, SEMANTIC_RANK = 0.8, 1.0
 SEMANTIC, LEXICAL, HEURISTIC, DERIVED, RESOLVED = 0.45, 0.30, 0.25, 0.10, 0.6
+SEMANTIC_ORDER = (0.75, 0.25)
 MOST_QUERIES = 10_000
+#: Rows that a task scores at a time, for a few megabytes of pairs.
+ROWS = 256
+TINY = 1.1920929e-7
 
 
 def top_k(scored: DataFrame, score: Column, k: int, rank: str) -> DataFrame:
@@ -19,23 +32,118 @@ def top_k(scored: DataFrame, score: Column, k: int, rank: str) -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, id, semantic_score of every vector for every query. ``vectors``: id, embedding; ``queries``: qid, vector.
-    Queries are a stated set that is sent to the vectors, in blocks of at most MOST_QUERIES."""
-    n = queries.count()
-    blocks = -(-n // MOST_QUERIES)
-    if blocks > 1:
-        parts = [queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)]
-    else:
-        parts = [queries]
-    out = None
-    for part in parts:
-        own = vectors.join(F.broadcast(part), F.size("embedding") == F.size("vector"))
-        own = own.select("qid", "id", X.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
-        out = own if out is None else out.union(own)
+class Asked:
+    """A block of queries, ready to be scored against batches of rows: vectors and, for the heuristic, their texts."""
+
+    def __init__(self, ids: pa.Array, vectors: list, texts: list[str] | None = None):
+        self.ids = ids
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.array([-1 if v is None else len(v) for v in vectors])
+        for n in sorted(set(sizes.tolist()) - {-1}):
+            own = np.flatnonzero(sizes == n)
+            self.by_size[n] = own, np.array([vectors[i] for i in own], np.float64).reshape(len(own), n)
+        self.own = [t.strip(WHITE).lower() for t in texts or []]
+        stems, names = [list(dict.fromkeys(terms(t))) for t in texts or []], [capitalised(t) for t in texts or []]
+        self.n_stems, self.n_names = (np.array([max(1, len(x)) for x in y]) for y in (stems, names))
+        self.stems, self.names = _places(stems), _places(names)
+
+    def cosines(self, embeddings: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (rows x queries) in double precision, 0 where either vector is all but zero, and which pairs have vectors of one size."""
+        score, paired = np.zeros((len(embeddings), len(self.ids))), np.zeros((len(embeddings), len(self.ids)), bool)
+        sizes = embeddings.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        for n, (own, q) in self.by_size.items():
+            rows = np.flatnonzero(sizes == n)
+            if len(rows):
+                v = np.asarray(embeddings.take(pa.array(rows)).flatten()).astype(np.float64).reshape(len(rows), n)
+                norms = np.outer((v * v).sum(axis=1), (q * q).sum(axis=1))
+                tiny = np.logical_or.outer((v * v).sum(axis=1) <= TINY, (q * q).sum(axis=1) <= TINY)
+                score[np.ix_(rows, own)] = np.where(tiny, 0.0, (v @ q.T) / np.sqrt(np.where(tiny, 1.0, norms)))
+                paired[np.ix_(rows, own)] = True
+        return score, paired
+
+    def heuristics(self, texts: list[str]) -> np.ndarray:
+        """Phrase overlap and name boost of every row for every query."""
+        out = np.zeros((len(texts), len(self.ids)))
+        for i, text in enumerate(texts):
+            low = text.lower()
+            stems, names = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+            for term in set(terms(text)):
+                for at, n in self.stems.get(term, ()):
+                    stems[at] += n
+            for name, places in self.names.items():
+                if name in low:
+                    for at, n in places:
+                        names[at] += n
+            overlap = 0.75 * stems / self.n_stems + np.array([own in low for own in self.own], float)
+            overlap = np.where([bool(own) and bool(low.strip(WHITE)) for own in self.own], overlap, 0.0)
+            out[i] = 0.7 * overlap + 0.3 * names / self.n_names
+        return out
+
+
+def capitalised(text: str) -> list[str]:
+    """The capitalised words of more than two bytes, in lower case."""
+    words = re.split(f"[{WHITE}]+", text)
+    return [w.lower() for w in words if w and unicodedata.category(w[0]) == "Lu" and len(w.encode()) > 2]
+
+
+def _places(lists: list[list[str]]) -> dict[str, list[tuple[int, int]]]:
+    out: dict[str, Counter] = {}
+    for i, words in enumerate(lists):
+        for w in words:
+            out.setdefault(w, Counter())[i] += 1
+    return {w: list(x.items()) for w, x in out.items()}
+
+
+def _score(asked: Asked, k: int | None, weights: tuple[float, float] | None):
+    """Rows of id, embedding (and preview): every pair's scores, or each query's k best pairs of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                score, paired = asked.cosines(batch.column(1))
+                heuristic = asked.heuristics([t or "" for t in batch.column(2).to_pylist()]) if weights else np.zeros_like(score)
+                if k is not None:
+                    order = np.round(score if weights is None else weights[0] * score + weights[1] * heuristic, 9)
+                    place = np.empty(batch.num_rows, np.int64)  # of the ids in order, for ties
+                    place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                    order = np.where(paired, order, -np.inf)
+                    for q in range(score.shape[1]):
+                        if batch.num_rows > k:
+                            paired[np.lexsort((place, -order[:, q]))[k:], q] = False
+                row, query = np.nonzero(paired)
+                yield pa.RecordBatch.from_arrays(
+                    [asked.ids.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(score[row, query]), pa.array(heuristic[row, query])], ["qid", "id", "semantic_score", "heuristic_score"]
+                )
+
+    return run
+
+
+def _scored(rows: DataFrame, queries: DataFrame, k: int | None, weights: tuple[float, float] | None) -> DataFrame:
+    """Queries are a stated set that is sent to the rows, in blocks of at most MOST_QUERIES."""
+    blocks, out = max(1, -(-queries.count() // MOST_QUERIES)), None
+    schema = f"qid {dict(queries.dtypes)['qid']}, id {dict(rows.dtypes)['id']}, semantic_score double, heuristic_score double"
+    for i in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        own = own.select("qid", "vector", *(["query"] if weights else [])).toArrow()
+        asked = Asked(own.column(0).combine_chunks(), own.column(1).to_pylist(), [t or "" for t in own.column(2).to_pylist()] if weights else None)
+        found = rows.select("id", "embedding", *(["preview"] if weights else [])).mapInArrow(_score(asked, k, weights), schema)
+        out = found if out is None else out.union(found)
     return out
 
 
+def cosine_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """qid, id, semantic_score of every vector for every query, or of each query's ``k`` best ones of every batch (with the
+    best of all among them). ``vectors``: id, embedding; ``queries``: qid, vector. Vectors of other sizes are not paired."""
+    return _scored(vectors, queries, k, None).drop("heuristic_score")
+
+
+def scan(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, id, semantic_score, heuristic_score: of every batch the ``k`` best rows of each query in semantic order.
+    ``rows``: id, embedding, preview; ``queries``: qid, vector, query."""
+    return _scored(rows, queries, k, SEMANTIC_ORDER)
+
+
 def candidates_or_all(scored: DataFrame, lexical: DataFrame, most: int = 200) -> DataFrame:
     """For queries with lexical hits only the first ``most`` of these, for others everything."""
     hits = lexical.where(F.col("lexical_rank") <= most).select("qid", "id", F.lit(True).alias("_hit"))
@@ -45,7 +153,7 @@ def candidates_or_all(scored: DataFrame, lexical: DataFrame, most: int = 200) ->
 
 
 def semantic_order() -> Column:
-    return 0.75 * F.col("semantic_score") + 0.25 * F.col("heuristic_score")
+    return SEMANTIC_ORDER[0] * F.col("semantic_score") + SEMANTIC_ORDER[1] * F.col("heuristic_score")
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, drawers: DataFrame) -> DataFrame:

@@ -292,7 +292,7 @@ def _vectors(spark, sf_dir):
 def cosine_topk(spark, sf_dir):
     """Queries: the vectors whose id is divisible by 20."""
     vectors, queries = _vectors(spark, sf_dir)
-    scored = semantic.top_k(semantic.cosine_scores(vectors, queries), F.col("semantic_score"), 20, "semantic_rank")
+    scored = semantic.top_k(semantic.cosine_scores(vectors, queries, 20), F.col("semantic_score"), 20, "semantic_rank")
     return scored.select("qid", "id", F.col("semantic_rank").cast("long").alias("semantic_rank"), F.round("semantic_score", 6).alias("score"))
 
 
@@ -303,8 +303,7 @@ def semantic_candidates(spark, sf_dir):
     """Rescoring of lexical candidates where a query has any, else of everything. Every other query has hits."""
     vectors, queries = _vectors(spark, sf_dir)
     scored = semantic.cosine_scores(vectors, queries)
-    hits = queries.where("(qid div 20) % 2 = 0").select("qid").join(F.broadcast(vectors.where("id % 3 = 0").select("id")))
-    hits = hits.withColumn("lexical_rank", F.lit(1))
+    hits = scored.where("(qid div 20) % 2 = 0 and id % 3 = 0").select("qid", "id", F.lit(1).alias("lexical_rank"))
     found = semantic.top_k(semantic.candidates_or_all(scored, hits), F.col("semantic_score"), 20, "semantic_rank")
     return found.select("qid", "id", F.col("semantic_rank").cast("long").alias("semantic_rank"))
 
@@ -363,7 +362,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(f, 9) DE
 def _fused(spark, sf_dir):
     vectors, queries = _vectors(spark, sf_dir)
     scored = semantic.cosine_scores(vectors, queries)
-    sem = semantic.top_k(scored, F.col("semantic_score"), 25, "semantic_rank").withColumn("heuristic_score", F.lit(0.0))
+    sem = semantic.top_k(semantic.cosine_scores(vectors, queries, 25), F.col("semantic_score"), 25, "semantic_rank").withColumn("heuristic_score", F.lit(0.0))
     near = scored.where(F.abs(F.col("id") - F.col("qid")) <= 30).withColumn("lexical_rank", F.expr("row_number() over (partition by qid order by abs(id - qid), id)"))
     lex = near.where("lexical_rank <= 25").select("qid", "id", "lexical_rank", (1 / (1 + F.col("lexical_rank"))).alias("lexical_score"), F.lit(0.0).alias("heuristic_score"))
     rows = vectors.select(

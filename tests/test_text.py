@@ -28,12 +28,28 @@ def test_builtin_vectors():
     v = embed.builtin_vector("the quick brown fox")
     assert abs(float((v * v).sum()) - 1) < 1e-5 and not embed.builtin_vector("?? !!").any()
     assert np.allclose(embed.decode_vector(embed.encode_vector(v)), v)
-    # the first place is the low bits of FNV-1a, which nine-bit arithmetic gives as well
-    for name in ("a", "quick", "quick::brown"):
-        h = 0x125
+
+
+def test_builtin_vectors_by_the_byte():
+    """Features hashed a byte at a time, as defined."""
+    def feature(name):
+        one, two, mask = embed.FNV_START, embed.SECOND_START, (1 << 64) - 1
         for b in name.encode():
-            h = (h ^ b) * 0x1B3 & 0x1FF
-        assert embed.feature(name)[0] == h
+            one = (one ^ b) * embed.FNV_PRIME & mask
+            two ^= b * embed.SECOND_XOR & mask
+            two = (two << 7 | two >> 57) & mask
+            two = two * embed.SECOND_MULTIPLY & mask
+        return one % 512, two % 512, 1 if (one ^ two) % 2 == 0 else -1
+
+    texts = ["the quick brown fox jumps", "", "a b", "quick", "snake_case-words and more words " * 40, "é ü", "x" * 3000 + " yy"]
+    for text, got in zip(texts, embed.builtin_vectors(texts), strict=True):
+        words, want = stem.terms(text), np.zeros(512)
+        for n, weight in ((1, 1.0), (2, 1.75), (3, 2.25)):
+            for i in range(len(words) - n + 1):
+                a, b, sign = feature("::".join(words[i : i + n]))
+                want[a] += weight
+                want[b] += 0.5 * weight * sign
+        assert np.allclose(got, want / (np.sqrt((want * want).sum()) or 1), atol=1e-6)
 
 
 def test_embedding_configuration():
@@ -134,10 +150,30 @@ def test_snippets(spark):
 
 def test_phrases_and_prefixes(spark):
     rows = [("a", "the snake-cased names", True), ("b", "snakes and cases", True), ("c", "snake case, snake cased", True), ("d", "snake", False)]
-    post = lexical.postings(spark.createDataFrame(rows, "id string, content string, active boolean"))
     phrases = lexical.query_phrases(spark.createDataFrame([(1, "snake-case"), (2, "cas"), (3, "?")], "qid long, query string"))
-    got = {(tuple(r.parts), r.id): r.f for r in lexical.phrase_counts(post, phrases.select("parts").distinct()).collect()}
+    own = [r.parts for r in phrases.collect()]
+    found = lexical.matches(spark.createDataFrame(rows, "id string, content string, active boolean"), own).collect()
+    got = {(tuple(own[r.phrase]), r.id): r.f for r in found if r.phrase >= 0}
     assert got == {(("snake", "case"), "a"): 1, (("snake", "case"), "c"): 2, (("cas",), "a"): 1, (("cas",), "b"): 1, (("cas",), "c"): 2}
+    assert {r.id: r.dl for r in found if r.phrase < 0} == {"a": 4, "b": 3, "c": 4}
+
+
+def test_scan_has_the_scores_of_the_expressions(spark):
+    """The kernel's cosine and heuristic against the column expressions, over every pair."""
+    from stratum.operators import semantic
+    from stratum.plans import search
+
+    texts = ["The Quick brown fox", "quick foxes, Brown bears", "", "  ", "nothing", "ÜBER den Wolken Über alles", "the quick brown fox the quick brown fox"]
+    rows = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "id string, preview string").withColumn("embedding", embed.embed_column()("preview"))
+    asked = spark.createDataFrame([(1, "Quick Brown fox"), (2, "über Wolken"), (3, "The The bears"), (4, "?")], "qid long, query string")
+    asked = asked.withColumn("vector", embed.embed_column()("query")).withColumn("terms", embed.stemmed_terms("query"))
+    got = {(r.qid, r.id): (round(r.semantic_score, 6), round(r.heuristic_score, 6)) for r in semantic.scan(rows, asked, 100).collect()}
+    pairs = rows.select("id", "embedding").crossJoin(asked.select("qid", "vector")).select("qid", "id", X.cosine(F.col("embedding"), F.col("vector")).alias("s"))
+    want = search._heuristic(pairs, rows.select("id", F.col("preview").alias("text")), asked).collect()
+    assert got == {(r.qid, r.id): (round(r.s, 6), round(r.heuristic_score, 6)) for r in want} and len(got) == 28
+    few = semantic.scan(rows.repartition(1), asked, 2).collect()
+    best = semantic.top_k(semantic.scan(rows, asked, 100), semantic.semantic_order(), 2, "n").collect()
+    assert {(r.qid, r.id) for r in few} == {(r.qid, r.id) for r in best}
 
 
 def test_vocabularies_are_complete():
