@@ -76,21 +76,30 @@ SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.c, t.doc_id) AS comp
 
 
 def license_scan() -> str:
-    rows = ", ".join(
-        f"({n}, '{name}', {len(own)}, '{pair}')" for n, (name, text) in enumerate(TEMPLATES) for own in [licenses.template_pairs(text)] for pair in own
-    )
-    assert not re.search("[^a-z0-9 ]", "".join(p for _, text in TEMPLATES for p in licenses.template_pairs(text)))
+    known = [(n, name, licenses.template_pairs(text), len(licenses.template_words(text))) for n, (name, text) in enumerate(TEMPLATES)]
+    rows = ", ".join(f"({n}, '{name}', {len(own)}, {size}, {licenses.stride(size)}, '{pair}')" for n, name, own, size in known for pair in own)
+    assert not re.search("[^a-z0-9 ]", "".join(p for _, _, own, _ in known for p in own))
     words = f"regexp_extract_all({LOWER.format('u')}, '[a-z0-9]+')"
+    least = licenses.THRESHOLD
     return f"""
-WITH k(template, license, size, pair) AS (VALUES {rows}),
+WITH k(template, license, size, n_words, stride, pair) AS (VALUES {rows}), kt AS (SELECT DISTINCT template, license, size, n_words, stride FROM k),
 t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT DISTINCT r, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n'), [text])) AS u FROM t),
 w AS (SELECT r, u, {words} AS w FROM u),
 p AS (SELECT DISTINCT r, u, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT r, u, w, unnest(range(1, len(w))) AS i FROM w)),
 s AS (SELECT r, u, count(*) AS size FROM p GROUP BY r, u),
 d AS (SELECT p.r, p.u, k.template, k.license, 2.0 * count(*) / (s.size + k.size) AS dice FROM p JOIN k ON p.pair = k.pair JOIN s ON s.r = p.r AND s.u = p.u GROUP BY p.r, p.u, k.template, k.license, s.size, k.size),
-m AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, template, license, u) AS place, count(*) OVER (PARTITION BY r) AS n FROM d WHERE dice >= {licenses.THRESHOLD!r})
-SELECT doc_id, coalesce(n, 0) AS n_matches, license, CAST(coalesce(template, -1) AS BIGINT) AS template, CAST(coalesce(dice, 0.0) AS DOUBLE) AS dice FROM t LEFT JOIN m ON t.r = m.r AND place = 1"""
+unit AS (SELECT * FROM d WHERE dice >= {least!r}),
+rest AS (SELECT a.r, a.w, kt.* FROM (SELECT t.r, w.w FROM t JOIN w ON w.r = t.r AND w.u = t.text) a JOIN (SELECT p.r, k.template FROM p JOIN t ON t.r = p.r AND t.text = p.u JOIN k ON k.pair = p.pair GROUP BY p.r, k.template, k.size HAVING count(*) >= CAST({least / (2 - least)!r} AS DOUBLE) * k.size - 1e-9) g ON a.r = g.r
+  JOIN kt ON kt.template = g.template WHERE len(a.w) >= n_words AND NOT EXISTS (SELECT 1 FROM unit WHERE unit.r = a.r AND unit.template = kt.template)),
+win AS (SELECT DISTINCT r, template, license, size, i, list_slice(w, i + 1, i + n_words) AS x FROM (SELECT *, unnest(list_append(range(0, len(w) - n_words + 1, stride), len(w) - n_words)) AS i FROM rest)),
+wp AS (SELECT DISTINCT r, template, license, size, i, x[j] || ' ' || x[j + 1] AS pair FROM (SELECT *, unnest(range(1, len(x))) AS j FROM win)),
+ws AS (SELECT r, template, i, count(*) AS n FROM wp GROUP BY r, template, i),
+wd AS (SELECT wp.r, wp.i, wp.template, wp.license, 2.0 * count(*) / (ws.n + wp.size) AS dice FROM wp JOIN k ON k.template = wp.template AND k.pair = wp.pair JOIN ws ON ws.r = wp.r AND ws.template = wp.template AND ws.i = wp.i GROUP BY wp.r, wp.i, wp.template, wp.license, ws.n, wp.size),
+best AS (SELECT r, template, license, dice, i FROM (SELECT *, row_number() OVER (PARTITION BY r, template ORDER BY dice DESC, i) AS z FROM wd WHERE dice >= {least!r}) WHERE z = 1),
+every AS (SELECT r, template, license, dice, u, CAST(NULL AS BIGINT) AS i FROM unit UNION ALL SELECT r, template, license, dice, NULL, i FROM best),
+m AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, template, license, u) AS place, count(*) OVER (PARTITION BY r) AS n FROM every)
+SELECT doc_id, coalesce(n, 0) AS n_matches, license, CAST(coalesce(template, -1) AS BIGINT) AS template, CAST(coalesce(dice, 0.0) AS DOUBLE) AS dice, i AS word FROM t LEFT JOIN m ON t.r = m.r AND place = 1"""
 
 
 ORACLE = {

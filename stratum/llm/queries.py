@@ -68,7 +68,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"),
-        F.coalesce(best["template"].cast("long"), F.lit(-1)).alias("template"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
+        F.coalesce(best["template"].cast("long"), F.lit(-1)).alias("template"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"), best["word"].cast("long").alias("word"),
     )
 
 

@@ -21,8 +21,18 @@ def brute(text):
         for n, (name, template) in enumerate(TEMPLATES):
             b = pairs(template)
             if own and (dice := 2 * len(own & b) / (len(own) + len(b))) >= 0.8:
-                out.append((-dice, n, name, unit))
-    return sorted(out)
+                out.append((-dice, n, name, None, unit))
+    whole = re.findall("[a-z0-9]+", text.translate(LOWER))
+    for n, (name, template) in enumerate(TEMPLATES):
+        size, windows = len(re.findall("[a-z0-9]+", template.translate(LOWER))), []
+        if len(whole) >= size and not any(m[1] == n for m in out):
+            for i in {*range(0, len(whole) - size + 1, max(1, size // 8)), len(whole) - size}:
+                unit = " ".join(whole[i : i + size])
+                own, b = pairs(unit), pairs(template)
+                if (dice := 2 * len(own & b) / (len(own) + len(b))) >= 0.8:
+                    windows.append((-dice, n, name, i, unit))
+        out += sorted(windows)[:1]
+    return sorted(out, key=lambda m: (m[:3], m[3] is not None, m[3:]))
 
 
 def corpus():
@@ -40,11 +50,26 @@ def corpus():
 
 def test_against_brute_force(spark):
     got = licenses.scan(documents(spark, corpus(), extra=True)).collect()
-    found = sorted(((r.doc_id, [(-m.dice, m.template, m.license, m.unit) for m in r.matches]) for r in got), key=str)
+    found = sorted(((r.doc_id, [(-m.dice, m.template, m.license, m.word, m.unit) for m in r.matches]) for r in got), key=str)
     assert found == sorted(((d, brute(t)) for d, t in corpus()), key=str)
     assert sum(bool(m) for _, m in found) > 50
 
 
+def test_licences_in_their_usual_layout(spark):
+    """Whole licences over lines and paragraphs amid other text, wrapped at any place, are found as windows."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for n, (name, template) in enumerate(TEMPLATES):
+        words = template.split()
+        if len(words) >= 40:
+            lines = [" ".join(words[a : a + 11]) for a in range(0, len(words), 11)]
+            lines[len(lines) // 2 : len(lines) // 2] = [""]
+            rows.append((n, "\n".join([" ".join(prose(rng, 200)), "", *lines, "", " ".join(prose(rng, rng.randrange(100)))])))
+            want[n] = name
+    got = {r.doc_id: r.matches[0] for r in licenses.scan(documents(spark, rows)).collect()}
+    assert len(want) >= 6 and {d: m.license for d, m in got.items()} == want and all(m.word > 100 for m in got.values())
+
+
 def test_empty_table(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
