@@ -25,6 +25,30 @@ from stratum.store import Store
 WRITE_FLAG = "STRATUM_ENABLE_WRITES"
 PROTOCOL = "Look facts up before answering about the past; record what changed after a session."
 DIALECT = "Compact memory lines. Header: wing|room|date|source. Line: 0:ENTITIES|topics|\"key sentence\"|emotions|FLAGS; empty parts are left out."
+_TEXT, _NUMBER = {"type": "string"}, {"type": "integer"}
+#: Of each tool what it is for, its arguments, and which of them are required.
+INVENTORY: dict[str, tuple[str, dict, list[str]]] = {
+    "status": ("Counts of drawers by wing, room and type, and how to use the store", {}, []),
+    "list_wings": ("Wings and their numbers of drawers", {}, []),
+    "list_rooms": ("Rooms and their numbers of drawers, of one wing or of all", {"wing": _TEXT}, []),
+    "get_taxonomy": ("Numbers of drawers by wing and room", {}, []),
+    "get_dialect_spec": ("How compact lines are written", {}, []),
+    "get_compact_context": ("The newest drawers in scope, in compact form where there is one", {"wing": _TEXT, "room": _TEXT, "limit": _NUMBER}, []),
+    "search": ("Search by words and meaning", {"query": _TEXT, "limit": _NUMBER, "wing": _TEXT, "room": _TEXT}, ["query"]),
+    "check_duplicate": ("Whether a text is stored already", {"content": _TEXT, "threshold": {"type": "number"}}, ["content"]),
+    "kg_query": ("Facts about an entity, now or at a date", {"entity": _TEXT, "as_of": _TEXT, "direction": {"type": "string", "enum": ["outgoing", "incoming", "both"]}}, ["entity"]),
+    "kg_timeline": ("Facts in order of time, of one entity or of all", {"entity": _TEXT}, []),
+    "kg_stats": ("Numbers of entities and facts", {}, []),
+    "traverse": ("Rooms reached from a room through shared wings", {"start_room": _TEXT, "max_hops": _NUMBER}, ["start_room"]),
+    "find_tunnels": ("Rooms that several wings share", {"wing_a": _TEXT, "wing_b": _TEXT}, []),
+    "graph_stats": ("Numbers of rooms, shared rooms and links", {}, []),
+    "diary_read": ("The newest diary entries of an agent", {"agent_name": _TEXT, "last_n": _NUMBER}, ["agent_name"]),
+    "add_drawer": ("Store a text, unless it is there already", {"wing": _TEXT, "room": _TEXT, "content": _TEXT, "source_file": _TEXT, "added_by": _TEXT}, ["wing", "room", "content"]),
+    "delete_drawer": ("Delete a drawer for good", {"drawer_id": _TEXT}, ["drawer_id"]),
+    "kg_add": ("Record a fact", {"subject": _TEXT, "predicate": _TEXT, "object": _TEXT, "valid_from": _TEXT, "source_closet": _TEXT}, ["subject", "predicate", "object"]),
+    "kg_invalidate": ("End a fact", {"subject": _TEXT, "predicate": _TEXT, "object": _TEXT, "ended": _TEXT}, ["subject", "predicate", "object"]),
+    "diary_write": ("Write a diary entry of an agent", {"agent_name": _TEXT, "entry": _TEXT, "topic": _TEXT}, ["agent_name", "entry"]),
+}
 WRITES = ("add_drawer", "delete_drawer", "kg_add", "kg_invalidate", "diary_write")
 
 
@@ -137,8 +161,9 @@ class Tools:
         return _rows(kg.stats(self.store.read("triples"), self.store.read("entities")))[0]
 
     def tool_traverse(self, args):
-        start, graph = _text(args, "start_room"), self.graph().cache()
-        found = _rows(rooms.traverse(graph, start, int(_number(args, "max_hops", 2, 1, 6))).join(graph, "room").select("room", "hop", "wings", "halls", "n").orderBy("hop", "room"))
+        start, graph = _text(args, "start_room"), self.graph()
+        found = rooms.traverse(graph, start, int(_number(args, "max_hops", 2, 1, 6))).join(graph, "room")
+        found = _rows(found.select("room", "hop", "wings", "halls", "n", "dates", "drawer_types", "connected_via").orderBy("hop", "room"))
         return {"start": start, "rooms": found} if found else {"error": f"no room {start}", "suggestions": [r.room for r in rooms.suggestions(graph, start).collect()]}
 
     def tool_find_tunnels(self, args):
@@ -202,22 +227,39 @@ class Tools:
 # ---- messages -------------------------------------------------------------------------------------
 
 
+def described(name: str) -> dict:
+    what, arguments, required = INVENTORY[name]
+    return {"name": name, "description": what, "inputSchema": {"type": "object", "properties": arguments, "required": required}}
+
+
+def _skip(stream: IO[bytes], size: int) -> None:
+    while size > 0 and (part := stream.read(min(size, 1 << 16))):
+        size -= len(part)
+
+
 def read_message(stream: IO[bytes]) -> bytes | None:
-    """A message framed by Content-Length, or a line; None at the end."""
-    line = stream.readline()
+    """A message framed by Content-Length, or a line; None at the end. What is too long or badly framed is read past and reported."""
+    most = schema.MAX_MESSAGE_BYTES
+    line = stream.readline(most + 1)
     while line in (b"\n", b"\r\n"):
-        line = stream.readline()
+        line = stream.readline(most + 1)
     if not line:
         return None
+    if len(line) > most:
+        while line and not line.endswith(b"\n"):
+            line = stream.readline(1 << 16)
+        raise ToolError("the message is too long")
     if not line.lower().startswith(b"content-length:"):
-        if len(line) > schema.MAX_MESSAGE_BYTES:
-            raise ToolError("the message is too long")
         return line
-    size = int(line.split(b":", 1)[1])
-    if size > schema.MAX_MESSAGE_BYTES:
-        raise ToolError("the message is too long")
-    while stream.readline().strip():
+    try:
+        size = int(line.split(b":", 1)[1])
+    except ValueError:
+        raise ToolError("Content-Length is not a number") from None
+    while (header := stream.readline(most)) and header.strip():
         pass
+    if size < 0 or size > most:
+        _skip(stream, size)
+        raise ToolError("the message is too long" if size > 0 else "Content-Length is negative")
     return stream.read(size)
 
 
@@ -226,6 +268,8 @@ def answer(tools: Tools, message: bytes) -> dict | None:
         asked = json.loads(message)
     except ValueError as e:
         return {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}}
+    if not isinstance(asked, dict) or not isinstance(asked.get("params") or {}, dict):
+        return {"jsonrpc": "2.0", "id": asked.get("id") if isinstance(asked, dict) else None, "error": {"code": -32600, "message": "a request is an object whose params are one"}}
     method, params = asked.get("method"), asked.get("params") or {}
     if "id" not in asked:
         return None
@@ -236,9 +280,11 @@ def answer(tools: Tools, message: bytes) -> dict | None:
         elif method == "ping":
             result = {}
         elif method == "tools/list":
-            result = {"tools": [{"name": n, "description": n.replace("_", " "), "inputSchema": {"type": "object"}} for n in tools.names()]}
+            result = {"tools": [described(n) for n in tools.names()]}
         elif method == "tools/call":
-            value = tools.call(params.get("name", ""), params.get("arguments"))
+            if not isinstance(params.get("arguments") or {}, dict):
+                raise ToolError("arguments are an object")
+            value = tools.call(str(params.get("name", "")), params.get("arguments"))
             result = {"content": [{"type": "text", "text": json.dumps(value, indent=2, default=str)}]}
         else:
             return out | {"error": {"code": -32601, "message": f"no method {method}"}}
@@ -250,8 +296,15 @@ def answer(tools: Tools, message: bytes) -> dict | None:
 
 
 def serve(tools: Tools, source: IO[bytes], sink: IO[bytes]) -> None:
-    while (message := read_message(source)) is not None:
-        if (out := answer(tools, message)) is not None:
+    while True:
+        try:
+            message = read_message(source)
+            if message is None:
+                return
+            out = answer(tools, message)
+        except ToolError as e:
+            out = {"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": str(e)}}
+        if out is not None:
             body = json.dumps(out).encode()
             sink.write(b"Content-Length: %d\r\n\r\n" % len(body) + body)
             sink.flush()

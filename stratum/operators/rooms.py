@@ -41,16 +41,21 @@ def tunnels(graph: DataFrame, wing_a: str | None = None, wing_b: str | None = No
 
 
 def traverse(graph: DataFrame, start: str, max_hops: int = 2) -> DataFrame:
-    """room, hop: rooms within ``max_hops`` steps of the start, a step being a shared wing, each at its first hop.
-    Hops go through wings: every wing is entered once, so a step is two equality joins and no pair of rooms is listed twice."""
+    """room, hop, connected_via: rooms within ``max_hops`` steps of the start, a step being a shared wing, each at its first hop,
+    with the wings it shares with the room it was first reached from (null for the start).
+    Hops go through wings: every wing is entered once, so a step is two equality joins and no pair of rooms is listed twice.
+    Rooms of a hop are taken in the order of their ways, room names from the start on, so the least way is the first to reach a room."""
     at = graph.select("room", F.explode("wings").alias("wing"))
-    seen = graph.where(F.col("room") == start).select("room", F.lit(0).alias("hop"))
+    seen = graph.where(F.col("room") == start).select("room", F.lit(0).alias("hop"), F.array("room").alias("way"))
     front, used = seen, at.limit(0).select("wing")
     for hop in range(1, max_hops + 1):
-        wings = at.join(front.select("room"), "room", "left_semi").select("wing").distinct().join(used, "wing", "left_anti")
-        front = at.join(wings, "wing", "left_semi").select("room").distinct().join(seen.select("room"), "room", "left_anti").select("room", F.lit(hop).alias("hop"))
-        seen, used = seen.union(front), used.union(wings)
-    return seen
+        wings = at.join(front.select("room", "way"), "room").groupBy("wing").agg(F.min("way").alias("way")).join(used, "wing", "left_anti")
+        reached = at.join(wings, "wing").groupBy("room").agg(F.min("way").alias("way")).join(seen.select("room"), "room", "left_anti")
+        front = reached.select("room", F.lit(hop).alias("hop"), F.array_append("way", F.col("room")).alias("way"))
+        seen, used = seen.union(front), used.union(wings.select("wing"))
+    before = graph.select(F.col("room").alias("_before"), F.col("wings").alias("_wings"))
+    found = seen.withColumn("_before", F.try_element_at("way", F.lit(-2))).join(graph.select("room", "wings"), "room").join(before, "_before", "left")
+    return found.select("room", "hop", F.sort_array(F.array_intersect("wings", "_wings")).alias("connected_via"))
 
 
 def suggestions(graph: DataFrame, name: str, n: int = 5) -> DataFrame:

@@ -459,7 +459,14 @@ h2 AS (SELECT DISTINCT b.room FROM h1 JOIN seg a ON a.room = h1.room JOIN seg b
 h3 AS (SELECT DISTINCT b.room FROM h2 JOIN seg a ON a.room = h2.room JOIN seg b ON a.wing = b.wing)"""
 
 
-@query(f"WITH {TRAVERSE_SQL} SELECT room, min(hop) AS hop FROM (SELECT room, 0 AS hop FROM h0 UNION ALL SELECT room, 1 FROM h1 UNION ALL SELECT room, 2 FROM h2 UNION ALL SELECT room, 3 FROM h3) GROUP BY room")
+@query(f"""WITH {TRAVERSE_SQL}, hops AS (SELECT room, min(hop) AS hop FROM (SELECT room, 0 AS hop FROM h0 UNION ALL SELECT room, 1 FROM h1 UNION ALL SELECT room, 2 FROM h2 UNION ALL SELECT room, 3 FROM h3) GROUP BY room),
+w0 AS (SELECT room, [room] AS way FROM h0),
+w1 AS (SELECT h.room, min(list_append(f.way, h.room)) AS way FROM hops h JOIN seg a ON a.room = h.room JOIN seg b ON a.wing = b.wing JOIN w0 f ON f.room = b.room WHERE h.hop = 1 GROUP BY h.room),
+w2 AS (SELECT h.room, min(list_append(f.way, h.room)) AS way FROM hops h JOIN seg a ON a.room = h.room JOIN seg b ON a.wing = b.wing JOIN w1 f ON f.room = b.room WHERE h.hop = 2 GROUP BY h.room),
+w3 AS (SELECT h.room, min(list_append(f.way, h.room)) AS way FROM hops h JOIN seg a ON a.room = h.room JOIN seg b ON a.wing = b.wing JOIN w2 f ON f.room = b.room WHERE h.hop = 3 GROUP BY h.room),
+ways AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3),
+via AS (SELECT y.room, string_agg(DISTINCT a.wing, ',' ORDER BY a.wing) AS via FROM ways y JOIN seg a ON a.room = y.room JOIN seg b ON b.room = y.way[-2] AND a.wing = b.wing GROUP BY y.room)
+SELECT hops.room, hop, coalesce(via, '') AS via FROM hops LEFT JOIN via ON via.room = hops.room""")
 def traverse_hops(spark, sf_dir):
     """A graph of three hops and more: rooms are groups of users, wings are users."""
     e = read(spark, sf_dir, "events")
@@ -468,7 +475,7 @@ def traverse_hops(spark, sf_dir):
     at = e.select(room(3, "-").alias("room"), wing).union(e.select(room(7, "+").alias("room"), wing)).distinct()
     graph = at.groupBy("room").agg(F.collect_set("wing").alias("wings"))
     start = "0-" + e.agg(F.min("event_type")).first()[0]
-    return rooms.traverse(graph, start, 3)
+    return rooms.traverse(graph, start, 3).select("room", "hop", F.coalesce(F.array_join("connected_via", ","), F.lit("")).alias("via"))
 
 
 @query(f"""WITH {NODES_SQL}, w AS (SELECT DISTINCT room, wing FROM usable), h AS (SELECT DISTINCT room, hall FROM usable WHERE hall IS NOT NULL)

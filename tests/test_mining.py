@@ -106,6 +106,7 @@ def test_tools(small_store):
     assert t.call("list_rooms", {"wing": "none"})["rooms"] is None and t.call("get_taxonomy")["taxonomy"]["beta"] == {"auth": 1, "ops": 1}
     assert [x["room"] for x in t.call("find_tunnels", {"wing_a": "alpha", "wing_b": "beta"})["tunnels"]] == ["auth"]
     assert [(r["room"], r["hop"]) for r in t.call("traverse", {"start_room": "ops"})["rooms"]] == [("ops", 0), ("auth", 1)]
+    assert [r["connected_via"] for r in t.call("traverse", {"start_room": "ops"})["rooms"]] == [None, ["beta"]]
     assert t.call("traverse", {"start_room": "aut"})["suggestions"] == ["auth"]
     same = t.call("check_duplicate", {"content": "The login flow uses signed cookies", "threshold": 0.5})
     assert same["is_duplicate"] and t.call("check_duplicate", {"content": "The login flow uses signed cookies", "threshold": 99})["threshold"] == 1.0
@@ -145,6 +146,32 @@ def test_messages(small_store):
     assert [o.get("id") for o in out] == [1, 2, 3, 4, None] and [o.get("error", {}).get("code") for o in out] == [None, None, -32602, -32601, -32700]
 
 
+def test_the_server_outlives_bad_input():
+    """Arrays, wrong types, bad frames and long messages are answered with an error, and the next request is served."""
+    store = type("NoStore", (), {"spark": None, "path": ""})()
+    good = b'{"id": 9, "method": "ping"}\n'
+    for bad, code in (
+        (b"[1, 2]\n", -32600), (b'"x"\n', -32600), (b'{"id": 1, "method": "ping", "params": [1]}\n', -32600), (b"Content-Length: x\r\n", -32600), (b"Content-Length: -5\r\n\r\n", -32600),
+        (b"Content-Length: 3000000\r\n\r\n" + b"y" * 3_000_000, -32600), (b"z" * 3_000_000 + b"\n", -32600), (b"\xff\xfe\n", -32700),
+        (b'{"id": 1, "method": "tools/call", "params": {"name": "search", "arguments": [1]}}\n', -32602), (b'{"id": 1, "method": "tools/call", "params": {"name": ["a"]}}\n', -32602),
+    ):
+        sink = io.BytesIO()
+        tools.serve(tools.Tools(store, env={}), io.BytesIO(bad + good), sink)
+        sink.seek(0)
+        out = []
+        while (m := tools.read_message(sink)) is not None:
+            out.append(json.loads(m))
+        assert out[0]["error"]["code"] == code and out[-1] == {"jsonrpc": "2.0", "id": 9, "result": {}} and len(out) == 2, bad[:40]
+
+
+def test_every_tool_is_described():
+    store = type("NoStore", (), {"spark": None, "path": ""})()
+    t = tools.Tools(store, env={tools.WRITE_FLAG: "1"})
+    assert sorted(t.names()) == sorted(tools.INVENTORY) and len(tools.INVENTORY) == 20
+    for name, (what, arguments, required) in tools.INVENTORY.items():
+        assert what and set(required) <= set(arguments), name
+
+
 def test_long_and_wordless_queries(small_store):
     store, t = small_store
     assert len(t._search("token " * 250, 5).collect()) <= 5
