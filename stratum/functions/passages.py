@@ -206,3 +206,6 @@ key_sentence_of = _kernel(key_sentence, _STRING)
 dialect_of = _kernel(dialect, _STRING)
 exchanges_of = _kernel(exchanges, T.ArrayType(_STRING))
 memories_of = _kernel(memories, T.ArrayType(_MEMORY))
+segments_of = _kernel(segments, T.ArrayType(_STRING))
+prose_of = _kernel(prose, _STRING)
+memory_of = _kernel(lambda text: dict(zip(("memory_type", "confidence"), memory(text) or (None, None), strict=True)), T.StructType(_MEMORY.fields[1:]))

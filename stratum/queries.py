@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import text as X
 from stratum.functions import vocab
-from stratum.functions.passages import exchanges_of, key_sentence_of, topics_of
+from stratum.functions.passages import exchanges_of, key_sentence_of, memory_of, prose_of, segments_of, topics_of
 from stratum.operators import artifacts, drawers as D, kg, lexical, metrics, rooms, semantic
 from stratum.sources import chats
 from stratum import store
@@ -686,6 +686,151 @@ def chat_chunks(spark, sf_dir):
     return made.select("conv_id", F.posexplode(exchanges_of(F.col("transcript"))).alias("chunk_index", "content"))
 
 
+# ---- lines, segments and memories ----------------------------------------------------------------
+
+_TRIM = "trim({}, E' \\t\\n\\r')"
+OWN_LINES_SQL = """
+split AS (SELECT n, s, string_split(replace(s, chr(13) || chr(10), chr(10)), chr(10)) AS own FROM texts WHERE s IS NOT NULL),
+own_lines AS (SELECT n, s, CASE WHEN own[-1] = '' THEN own[:-2] ELSE own END AS own FROM split),
+line AS (SELECT n, unnest(own) AS x, generate_subscripts(own, 1) AS i FROM own_lines)"""
+PROSE_SQL = OWN_LINES_SQL + f""",
+fenced AS (SELECT n, i, x, {_TRIM.format('x')} AS t, starts_with({_TRIM.format('x')}, '```') AS fence FROM line),
+coded AS (SELECT *, sum(CAST(fence AS INT)) OVER (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING) % 2 = 1 AS code FROM fenced),
+kept AS (SELECT n, {_TRIM.format("string_agg(x, chr(10) ORDER BY i)")} AS prose FROM coded WHERE NOT fence AND NOT code AND NOT regexp_matches(t, '{vocab.CODE_LINE}') GROUP BY n),
+prose AS (SELECT o.n, o.s, coalesce(nullif(prose, ''), o.s) AS prose FROM own_lines o LEFT JOIN kept ON kept.n = o.n)"""
+
+CODE_TEXTS = [
+    "We fixed it.\n```\nfixed fixed\n```\nand it works", "$ ls\nimport os\nrm x\nprose stays here", "```\nonly code\n```", "git push\r\nreal words\r\n", "no fence ``` inside\n  # indented comment\n# heading",
+]
+
+
+def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences and documents, and texts with code."""
+    return sentences(spark, sf_dir).union(spark.createDataFrame([(i + 500, t) for i, t in enumerate(CODE_TEXTS)], "n long, s string"))
+
+
+CODE_TEXTS_SQL = TEXTS_SQL.replace("texts AS (", "texts AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i + 500} AS BIGINT), " + " || ".join(f"'{part}'" if part else "''" for part in t.replace("\r", "\x00").replace("\n", "\x00\n\x00").split("\x00")).replace("'\n'", "chr(10)") + ")" for i, t in enumerate(CODE_TEXTS)) + ") AS c(n, s) UNION ALL ")
+
+
+@query(f"WITH {CODE_TEXTS_SQL}, {PROSE_SQL} SELECT n, prose FROM prose")
+def prose_lines(spark, sf_dir):
+    return code_texts(spark, sf_dir).select("n", prose_of("s").alias("prose"))
+
+
+@query(f"""WITH {TEXTS_SQL}, {OWN_LINES_SQL}, opened AS (SELECT n, i, x, regexp_matches({_TRIM.format('x')}, '{vocab.TURN_LINE}') AS o FROM line),
+turned AS (SELECT *, sum(CAST(o AS INT)) OVER (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING) AS g, sum(CAST(o AS INT)) OVER (PARTITION BY n) AS opens FROM opened),
+turns AS (SELECT n, g AS k, string_agg(x, chr(10) ORDER BY i) AS segment FROM turned WHERE opens >= 3 GROUP BY n, g),
+par AS (SELECT n, k, {_TRIM.format('p')} AS segment FROM (SELECT n, unnest(string_split(s, chr(10) || chr(10))) AS p, generate_subscripts(string_split(s, chr(10) || chr(10)), 1) AS k FROM own_lines) WHERE {_TRIM.format('p')} <> ''),
+size AS (SELECT o.n, len(own) AS n_lines, (SELECT count(*) FROM par WHERE par.n = o.n) AS n_par, (SELECT max(opens) FROM turned WHERE turned.n = o.n) AS opens FROM own_lines o),
+grp AS (SELECT n, (i - 1) // 25 AS k, string_agg(x, chr(10) ORDER BY i) AS segment FROM line GROUP BY n, (i - 1) // 25),
+every AS (SELECT * FROM turns UNION ALL SELECT par.* FROM par JOIN size ON size.n = par.n WHERE coalesce(opens, 0) < 3 AND NOT (n_par <= 1 AND n_lines > 20)
+  UNION ALL SELECT grp.* FROM grp JOIN size ON size.n = grp.n WHERE coalesce(opens, 0) < 3 AND n_par <= 1 AND n_lines > 20 AND {_TRIM.format('segment')} <> '')
+SELECT n, row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS place, segment FROM every""")
+def text_segments(spark, sf_dir):
+    return sentences(spark, sf_dir).select("n", F.posexplode(segments_of("s")).alias("place", "segment")).withColumn("place", F.col("place").cast("long"))
+
+
+_KINDS = list(vocab.MARKERS)
+_KNOWN = lambda words: f"len(list_filter(list_distinct(regexp_extract_all(l, '\\w+')), lambda x: x IN ({', '.join(repr(w) for w in words)})))"
+
+
+@query(f"""WITH {CODE_TEXTS_SQL.replace('texts AS (', 'raw_texts AS (')}, texts AS (SELECT n, regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g') AS s FROM raw_texts), {PROSE_SQL},
+low AS (SELECT n, s, lower(prose) AS l FROM prose), k AS (SELECT n, s, {', '.join(f'{_marker_sql(p)} AS {k}' for k, p in vocab.MARKERS.items())}, {_KNOWN(vocab.POSITIVE)} > {_KNOWN(vocab.NEGATIVE)} AS positive, {any_of('l', vocab.RESOLUTIONS)} AS resolved FROM low),
+best AS (SELECT *, greatest({', '.join(_KINDS)}) AS most FROM k), first AS (SELECT *, CASE {' '.join(f"WHEN {k} = most THEN '{k}'" for k in _KINDS)} END AS kind FROM best WHERE most > 0),
+judged AS (SELECT *, CASE WHEN kind = 'problem' AND resolved AND positive AND emotional > 0 THEN 'emotional' WHEN kind = 'problem' AND resolved THEN 'milestone' WHEN kind = 'problem' AND positive AND milestone > 0 THEN 'milestone'
+  WHEN kind = 'problem' AND positive AND emotional > 0 THEN 'emotional' ELSE kind END AS memory_type FROM first)
+SELECT n, memory_type, round(least(1.0, (CASE memory_type {' '.join(f"WHEN '{k}' THEN {k}" for k in _KINDS)} END + CASE WHEN octet_length(encode(s)) > 500 THEN 2 WHEN octet_length(encode(s)) > 200 THEN 1 ELSE 0 END) / 5.0), 6) AS confidence FROM judged""")
+def memory_types(spark, sf_dir):
+    """The type of each whole text, taken as one segment."""
+    plain = code_texts(spark, sf_dir).select("n", memory_of(F.regexp_replace("s", "[^\\x00-\\x7F]", "_")).alias("m"))
+    return plain.where("m.memory_type is not null").select("n", "m.memory_type", F.round("m.confidence", 6).alias("confidence"))
+
+
+_ARTIFACT_ROOM = "CASE n % 4 WHEN 0 THEN 'preferences' WHEN 1 THEN 'decisions' WHEN 2 THEN 'anchors' ELSE 'problem' END"
+_ARTIFACT_KIND = "CASE n % 5 WHEN 0 THEN 'preference_bridge' WHEN 1 THEN 'decision_bridge' WHEN 2 THEN 'anchor_doc' ELSE 'derived_memory' END"
+_CONTEXT = "CASE n % 3 WHEN 0 THEN 'architecture' WHEN 1 THEN 'planning' ELSE 'general' END"
+
+
+@query(f"""WITH {TEXTS_SQL}, a AS (SELECT n, lower(s) AS l, {_ARTIFACT_ROOM} AS room, {_ARTIFACT_KIND} AS kind, {_CONTEXT} AS context FROM texts)
+SELECT n, CASE WHEN kind = 'preference_bridge' OR contains(room, 'preference') THEN 'hall_preferences' WHEN kind = 'decision_bridge' OR contains(room, 'decision') THEN 'hall_facts'
+  WHEN kind = 'anchor_doc' AND (contains(context, 'architecture') OR contains(context, 'design')) THEN 'hall_facts' WHEN kind = 'anchor_doc' AND {any_of('l', ['issue', 'fix'])} THEN 'hall_events' WHEN kind = 'anchor_doc' THEN 'hall_facts'
+  WHEN {any_of('l', ['learned', 'realized', 'insight'])} THEN 'hall_discoveries' WHEN {any_of('l', ['problem', 'failed', 'resolved'])} THEN 'hall_events' WHEN contains(context, 'planning') OR contains(context, 'timeline') THEN 'hall_events' ELSE 'hall_facts' END AS hall FROM a""")
+def artifact_halls(spark, sf_dir):
+    own = sentences(spark, sf_dir).selectExpr("n", "s", f"{_ARTIFACT_ROOM} AS room", f"{_ARTIFACT_KIND} AS kind", f"{_CONTEXT} AS context")
+    return own.select("n", X.artifact_hall(F.col("room"), F.col("kind"), F.col("s"), F.col("context")).alias("hall"))
+
+
+@query(f"""WITH {TEXTS_SQL}, plain AS (SELECT n, regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g') AS a FROM texts), found AS ({' UNION ALL '.join(_fact_sql(*f) for f in vocab.FACTS)})
+SELECT DISTINCT n, CASE WHEN coalesce(s, '') = '' THEN 'team' ELSE s END AS subject, predicate, object, confidence FROM found WHERE confidence >= 0.8""")
+def kg_confident(spark, sf_dir):
+    """Facts that mining keeps."""
+    from stratum.plans.ingest import LEAST_CONFIDENCE
+
+    return sentences(spark, sf_dir).select("n", F.inline(X.facts(F.col("s")))).where(F.col("confidence") >= LEAST_CONFIDENCE)
+
+
+# ---- more of drawers, search and layers ------------------------------------------------------------
+
+
+@query(f"WITH {DRAWERS_SQL} SELECT count(*) AS n FROM drawers WHERE active")
+def count_active(spark, sf_dir):
+    return D.scoped(drawers(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DRAWERS_SQL} SELECT id, active AND source_file <> 'src3/1.md' AS active FROM drawers")
+def retire_source(spark, sf_dir):
+    return store.retired_source(drawers(spark, sf_dir), "src3/1.md").select("id", "active")
+
+
+@query(f"""WITH {DRAWERS_SQL}, r AS (SELECT *, CASE WHEN chunk_index = 1 THEN upper(room) || ' short' END AS compressed FROM drawers), c AS (SELECT id, replace(coalesce(compressed, content), chr(10), ' ') AS a, replace(content, chr(10), ' ') AS b FROM r)
+SELECT id, CASE WHEN length(a) > 60 THEN substr(a, 1, 57) || '...' ELSE a END AS preferred, CASE WHEN length(b) > 60 THEN substr(b, 1, 57) || '...' ELSE b END AS raw FROM c""")
+def preferred_snippets(spark, sf_dir):
+    rows = drawers(spark, sf_dir).withColumn("compressed", F.when(F.col("chunk_index") == 1, F.concat(F.upper("room"), F.lit(" short"))))
+    return rows.select("id", *(X.preferred_snippet(F.col("content"), F.col("compressed"), p, 60).alias(n) for p, n in ((True, "preferred"), (False, "raw"))))
+
+
+@query(f"""WITH {DRAWERS_SQL}, top AS (SELECT *, coalesce(importance, emotional_weight, weight, 3.0) AS w FROM drawers WHERE active AND wing = 'en' ORDER BY w DESC, filed_at DESC, chunk_index, id LIMIT 15),
+s AS (SELECT *, replace(trim(content, E' \\t\\n\\r'), chr(10), ' ') AS t FROM top) SELECT id, room, CASE WHEN length(t) > 200 THEN substr(t, 1, 197) || '...' ELSE t END AS snippet, w AS importance FROM s""")
+def story_rows(spark, sf_dir):
+    from stratum.plans import layers
+
+    return layers.story_rows(drawers(spark, sf_dir), "en").select("id", "room", "snippet", F.col("rank_importance").alias("importance"))
+
+
+@query(f"WITH {DRAWERS_SQL}, {WORDS_SQL}, {BM25_SQL} SELECT qid, id, lexical_rank AS rank FROM lex WHERE lexical_rank <= 5")
+def fts_ids(spark, sf_dir):
+    """Ids by one method alone."""
+    from stratum.plans.search import only_ids
+
+    return only_ids(drawers(spark, sf_dir), _bench_queries(spark, sf_dir), 5, "fts").select("qid", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {COSINE_SQL}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(0.75 * score + 0.25 * ((id % 7) / 7.0), 9) DESC, id) AS rank FROM s) SELECT qid, id, rank FROM r WHERE rank <= 20""")
+def semantic_ranking(spark, sf_dir):
+    """The order of vector search: three quarters cosine, one quarter heuristic."""
+    scored = semantic.cosine_scores(*_vectors(spark, sf_dir)).withColumn("heuristic_score", (F.col("id") % 7) / F.lit(7.0))
+    return semantic.top_k(scored, semantic.semantic_order(), 20, "rank").select("qid", "id", F.col("rank").cast("long").alias("rank"))
+
+
+_ROOMS = [("billing", ["invoice", "das"]), ("src1", ["et"]), ("notes", ["the", "of"])]
+_ROOM_COUNT = lambda words: " + ".join(f"CAST(length(head) - length(replace(head, '{w}', '')) AS DOUBLE) / {len(w)}" for w in words)
+
+
+@query(f"""WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '/x' || CAST(doc_id AS VARCHAR) || '.md' WHEN 1 THEN 'a/notes_' || CAST(doc_id AS VARCHAR) || '.md' ELSE 'q/q.md' END AS f, lower(substr(text, 1, 2000)) AS head FROM documents),
+v AS (SELECT doc_id, split_part(f, '/', 1) AS folder, regexp_replace(split_part(f, '/', 2), '^(.+)\\.[^.]*$', '\\1') AS stem, head FROM p),
+k AS (SELECT *, {', '.join(f"{_ROOM_COUNT([r, *w])} AS s{i}" for i, (r, w) in enumerate(_ROOMS))} FROM v),
+m AS (SELECT *, greatest({', '.join(f's{i}' for i in range(len(_ROOMS)))}) AS best FROM k)
+SELECT doc_id, coalesce(CASE {' '.join(f"WHEN contains('{r}', folder) OR contains(folder, '{r}') THEN '{r}'" for r, _ in _ROOMS)} END, CASE {' '.join(f"WHEN contains('{r}', stem) OR contains(stem, '{r}') THEN '{r}'" for r, _ in _ROOMS)} END,
+  CASE {' '.join(f"WHEN s{i} = best AND best > 0 THEN '{r}'" for i, (r, _) in enumerate(_ROOMS))} END, 'general') AS room FROM m""")
+def file_rooms(spark, sf_dir):
+    from stratum.plans.ingest import file_room
+    from stratum.sources.config import Room
+
+    n = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("/x"), n, F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("a/notes_"), n, F.lit(".md"))).otherwise("q/q.md")
+    return read(spark, sf_dir, "documents").select("doc_id", file_room(path, F.col("text"), [Room(r, w) for r, w in _ROOMS]).alias("room"))
+
+
 @query()
 def typed_memories(spark, sf_dir):
     return sentences(spark, sf_dir).select("n", F.inline(artifacts.memories(F.col("s"))))

@@ -32,6 +32,11 @@ def retired(drawers: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("active", F.col("active") & stays).select(drawers.columns)
 
 
+def retired_source(drawers: DataFrame, source_file: str) -> DataFrame:
+    """All rows of a source become inactive."""
+    return drawers.withColumn("active", F.col("active") & ~F.col("source_file").eqNullSafe(F.lit(source_file)))
+
+
 def merged(drawers: DataFrame, batch: DataFrame) -> DataFrame:
     """Old rows, retired as the batch's sources ask, with rows of the same id replaced by the batch's."""
     plan = batch.groupBy("source_file").agg(F.max("source_hash").alias("source_hash"))
@@ -147,9 +152,7 @@ class Store:
         return n
 
     def retire_source(self, source_file: str) -> None:
-        """All rows of a source become inactive."""
-        rows = self.read("drawers")
-        self.write("drawers", rows.withColumn("active", F.col("active") & ~F.col("source_file").eqNullSafe(F.lit(source_file))))
+        self.write("drawers", retired_source(self.read("drawers"), source_file))
 
     def delete(self, ids: list[str]) -> int:
         rows = self.read("drawers")
