@@ -717,15 +717,18 @@ def prose_lines(spark, sf_dir):
     return code_texts(spark, sf_dir).select("n", prose_of("s").alias("prose"))
 
 
-@query(f"""WITH {TEXTS_SQL}, {OWN_LINES_SQL}, opened AS (SELECT n, i, x, regexp_matches({_TRIM.format('x')}, '{vocab.TURN_LINE}') AS o FROM line),
+SEGMENTS_SQL = OWN_LINES_SQL + f""", opened AS (SELECT n, i, x, regexp_matches({_TRIM.format('x')}, '{vocab.TURN_LINE}') AS o FROM line),
 turned AS (SELECT *, sum(CAST(o AS INT)) OVER (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING) AS g, sum(CAST(o AS INT)) OVER (PARTITION BY n) AS opens FROM opened),
 turns AS (SELECT n, g AS k, string_agg(x, chr(10) ORDER BY i) AS segment FROM turned WHERE opens >= 3 GROUP BY n, g),
 par AS (SELECT n, k, {_TRIM.format('p')} AS segment FROM (SELECT n, unnest(string_split(s, chr(10) || chr(10))) AS p, generate_subscripts(string_split(s, chr(10) || chr(10)), 1) AS k FROM own_lines) WHERE {_TRIM.format('p')} <> ''),
 size AS (SELECT o.n, len(own) AS n_lines, (SELECT count(*) FROM par WHERE par.n = o.n) AS n_par, (SELECT max(opens) FROM turned WHERE turned.n = o.n) AS opens FROM own_lines o),
 grp AS (SELECT n, (i - 1) // 25 AS k, string_agg(x, chr(10) ORDER BY i) AS segment FROM line GROUP BY n, (i - 1) // 25),
 every AS (SELECT * FROM turns UNION ALL SELECT par.* FROM par JOIN size ON size.n = par.n WHERE coalesce(opens, 0) < 3 AND NOT (n_par <= 1 AND n_lines > 20)
-  UNION ALL SELECT grp.* FROM grp JOIN size ON size.n = grp.n WHERE coalesce(opens, 0) < 3 AND n_par <= 1 AND n_lines > 20 AND {_TRIM.format('segment')} <> '')
-SELECT n, row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS place, segment FROM every""")
+  UNION ALL SELECT grp.* FROM grp JOIN size ON size.n = grp.n WHERE coalesce(opens, 0) < 3 AND n_par <= 1 AND n_lines > 20 AND {_TRIM.format('segment')} <> ''),
+segments AS (SELECT n, row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS place, segment FROM every)"""
+
+
+@query(f"WITH {TEXTS_SQL}, {SEGMENTS_SQL} SELECT * FROM segments")
 def text_segments(spark, sf_dir):
     return sentences(spark, sf_dir).select("n", F.posexplode(segments_of("s")).alias("place", "segment")).withColumn("place", F.col("place").cast("long"))
 
@@ -734,12 +737,15 @@ _KINDS = list(vocab.MARKERS)
 _KNOWN = lambda words: f"len(list_filter(list_distinct(regexp_extract_all(l, '\\w+')), lambda x: x IN ({', '.join(repr(w) for w in words)})))"
 
 
-@query(f"""WITH {CODE_TEXTS_SQL.replace('texts AS (', 'raw_texts AS (')}, texts AS (SELECT n, regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g') AS s FROM raw_texts), {PROSE_SQL},
-low AS (SELECT n, s, lower(prose) AS l FROM prose), k AS (SELECT n, s, {', '.join(f'{_marker_sql(p)} AS {k}' for k, p in vocab.MARKERS.items())}, {_KNOWN(vocab.POSITIVE)} > {_KNOWN(vocab.NEGATIVE)} AS positive, {any_of('l', vocab.RESOLUTIONS)} AS resolved FROM low),
+MEMORY_SQL = f"""low AS (SELECT n, s, lower(prose) AS l FROM prose), k AS (SELECT n, s, {', '.join(f'{_marker_sql(p)} AS {k}' for k, p in vocab.MARKERS.items())}, {_KNOWN(vocab.POSITIVE)} > {_KNOWN(vocab.NEGATIVE)} AS positive, {any_of('l', vocab.RESOLUTIONS)} AS resolved FROM low),
 best AS (SELECT *, greatest({', '.join(_KINDS)}) AS most FROM k), first AS (SELECT *, CASE {' '.join(f"WHEN {k} = most THEN '{k}'" for k in _KINDS)} END AS kind FROM best WHERE most > 0),
 judged AS (SELECT *, CASE WHEN kind = 'problem' AND resolved AND positive AND emotional > 0 THEN 'emotional' WHEN kind = 'problem' AND resolved THEN 'milestone' WHEN kind = 'problem' AND positive AND milestone > 0 THEN 'milestone'
-  WHEN kind = 'problem' AND positive AND emotional > 0 THEN 'emotional' ELSE kind END AS memory_type FROM first)
-SELECT n, memory_type, round(least(1.0, (CASE memory_type {' '.join(f"WHEN '{k}' THEN {k}" for k in _KINDS)} END + CASE WHEN octet_length(encode(s)) > 500 THEN 2 WHEN octet_length(encode(s)) > 200 THEN 1 ELSE 0 END) / 5.0), 6) AS confidence FROM judged""")
+  WHEN kind = 'problem' AND positive AND emotional > 0 THEN 'emotional' ELSE kind END AS memory_type FROM first),
+memories AS (SELECT n, s, memory_type, least(1.0, (CASE memory_type {' '.join(f"WHEN '{k}' THEN {k}" for k in _KINDS)} END + CASE WHEN octet_length(encode(s)) > 500 THEN 2 WHEN octet_length(encode(s)) > 200 THEN 1 ELSE 0 END) / 5.0) AS confidence FROM judged)"""
+
+
+@query(f"""WITH {CODE_TEXTS_SQL.replace('texts AS (', 'raw_texts AS (')}, texts AS (SELECT n, regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g') AS s FROM raw_texts), {PROSE_SQL}, {MEMORY_SQL}
+SELECT n, memory_type, round(confidence, 6) AS confidence FROM memories""")
 def memory_types(spark, sf_dir):
     """The type of each whole text, taken as one segment."""
     plain = code_texts(spark, sf_dir).select("n", memory_of(F.regexp_replace("s", "[^\\x00-\\x7F]", "_")).alias("m"))
@@ -831,33 +837,58 @@ def file_rooms(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", file_room(path, F.col("text"), [Room(r, w) for r, w in _ROOMS]).alias("room"))
 
 
-@query()
-def typed_memories(spark, sf_dir):
-    return sentences(spark, sf_dir).select("n", F.inline(artifacts.memories(F.col("s"))))
+#: Of texts (n, s): body (n, body), their dialect lines without a header.
+DIALECT_SQL = rf"""w AS (SELECT n, unnest(regexp_extract_all(s, '{vocab.TOPIC}')) AS w FROM texts),
+f AS (SELECT n, lower(w) AS w, sum(1 + CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(w, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS c FROM w WHERE lower(w) NOT IN ({', '.join(f"'{x}'" for x in vocab.STOP_WORDS)}) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY c DESC, w) AS r FROM f), topic AS (SELECT n, string_agg(w, '_' ORDER BY r) AS topics FROM r WHERE r <= 3 GROUP BY n),
+p AS (SELECT n, trim(unnest(string_split_regex(s, '[.!?\n]+')), E' \t\r\n') AS s, generate_subscripts(string_split_regex(s, '[.!?\n]+'), 1) AS i FROM texts),
+cue AS (SELECT n, s, i, {' + '.join(f"2 * CAST(contains(lower(s), '{c}') AS INT)" for c in vocab.CUES)} + CAST(octet_length(encode(s)) < 80 AS INT) + CAST(octet_length(encode(s)) < 40 AS INT) - 2 * CAST(octet_length(encode(s)) > 150 AS INT) AS c FROM p WHERE octet_length(encode(s)) > 10),
+key AS (SELECT n, arg_max(s, c * 1000000 - i) AS k FROM cue GROUP BY n),
+name AS (SELECT n, unnest(regexp_extract_all(t, '\b[A-Z][a-z]+\b')) AS x, generate_subscripts(regexp_extract_all(t, '\b[A-Z][a-z]+\b'), 1) AS i FROM (SELECT n, regexp_replace(s, '[^\x00-\x7F]', '_', 'g') AS t FROM texts)),
+code AS (SELECT n, upper(substr(x, 1, 3)) AS c, min(i) AS i FROM name GROUP BY 1, 2), ent AS (SELECT n, string_agg(c, '+' ORDER BY i) AS e FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY i) AS r FROM code) WHERE r <= 3 GROUP BY n),
+signs AS (SELECT n, {_CODES(vocab.EMOTIONS)} AS emotions, {_CODES(vocab.FLAGS)} AS flags FROM (SELECT n, lower(s) AS l FROM texts)),
+body AS (SELECT signs.n, '0:' || coalesce(e, '???') || '|' || coalesce(topics, 'misc') || CASE WHEN coalesce(k, '') = '' THEN '' ELSE '|"' || CASE WHEN octet_length(encode(k)) > 55 THEN substr(k, 1, 52) || '...' ELSE k END || '"' END
+  || CASE WHEN emotions = '' THEN '' ELSE '|' || emotions END || CASE WHEN flags = '' THEN '' ELSE '|' || flags END AS body
+  FROM signs LEFT JOIN topic ON topic.n = signs.n LEFT JOIN key ON key.n = signs.n LEFT JOIN ent ON ent.n = signs.n)"""
 
 
-@query()
-def derived_artifacts(spark, sf_dir):
-    rows = sentences(spark, sf_dir)
-    return artifacts.expand(rows, artifacts.of_text(F.col("s"), F.lit("architecture"), X.infer_date(F.col("s")), F.lit("a/notes.md"), chat=True)).select("n", "place", "artifact.*")
-
-
-@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{vocab.TOPIC}')) AS w FROM documents),
-f AS (SELECT doc_id, lower(w) AS w, sum(1 + CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(w, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS n FROM w WHERE lower(w) NOT IN ({', '.join(f"'{x}'" for x in vocab.STOP_WORDS)}) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM f), topic AS (SELECT doc_id, string_agg(w, '_' ORDER BY r) AS topics FROM r WHERE r <= 3 GROUP BY doc_id),
-p AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.!?\n]+')), E' \t\r\n') AS s, generate_subscripts(string_split_regex(text, '[.!?\n]+'), 1) AS i FROM documents),
-k AS (SELECT doc_id, s, i, {' + '.join(f"2 * CAST(contains(lower(s), '{c}') AS INT)" for c in vocab.CUES)} + CAST(octet_length(encode(s)) < 80 AS INT) + CAST(octet_length(encode(s)) < 40 AS INT) - 2 * CAST(octet_length(encode(s)) > 150 AS INT) AS n FROM p WHERE octet_length(encode(s)) > 10),
-key AS (SELECT doc_id, arg_max(s, n * 1000000 - i) AS s FROM k GROUP BY doc_id),
-name AS (SELECT doc_id, unnest(regexp_extract_all(t, '\b[A-Z][a-z]+\b')) AS x, generate_subscripts(regexp_extract_all(t, '\b[A-Z][a-z]+\b'), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS t FROM documents)),
-code AS (SELECT doc_id, upper(substr(x, 1, 3)) AS c, min(i) AS i FROM name GROUP BY 1, 2), ent AS (SELECT doc_id, string_agg(c, '+' ORDER BY i) AS e FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM code) WHERE r <= 3 GROUP BY doc_id),
-l AS (SELECT doc_id, lang, source, lower(text) AS l FROM documents), c AS (SELECT doc_id, lang, source, {_CODES(vocab.EMOTIONS)} AS emotions, {_CODES(vocab.FLAGS)} AS flags FROM l)
-SELECT c.doc_id, lang || '|' || source || '|?|b' || chr(10) || '0:' || coalesce(e, '???') || '|' || coalesce(topics, 'misc') || CASE WHEN coalesce(s, '') = '' THEN '' ELSE '|"' || CASE WHEN octet_length(encode(s)) > 55 THEN substr(s, 1, 52) || '...' ELSE s END || '"' END
-  || CASE WHEN emotions = '' THEN '' ELSE '|' || emotions END || CASE WHEN flags = '' THEN '' ELSE '|' || flags END AS line
-FROM c LEFT JOIN topic ON topic.doc_id = c.doc_id LEFT JOIN key ON key.doc_id = c.doc_id LEFT JOIN ent ON ent.doc_id = c.doc_id""")
+@query(f"WITH texts AS (SELECT doc_id AS n, text AS s FROM documents), {DIALECT_SQL} SELECT doc_id, lang || '|' || source || '|?|b' || chr(10) || body AS line FROM documents JOIN body ON body.n = doc_id")
 def dialect_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.compressed(F.col("text"), F.col("lang"), F.col("source"), None, F.lit("a/b.md")).alias("line"))
 
 
+_PLAIN_SQL = TEXTS_SQL.replace("texts AS (", "raw_texts AS (") + ", texts AS (SELECT n, regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g') AS s FROM raw_texts)"
+MEMORIES_SQL = f"""SELECT k // 1000 AS n, k % 1000 AS place, {_TRIM.format('s')} AS content, memory_type, confidence FROM (
+WITH texts AS (SELECT n * 1000 + place AS n, segment AS s FROM (WITH {_PLAIN_SQL}, {SEGMENTS_SQL} SELECT * FROM segments)), {PROSE_SQL}, {MEMORY_SQL} SELECT n AS k, s, memory_type, confidence FROM memories) WHERE octet_length(encode({_TRIM.format('s')})) >= 20 AND confidence >= 0.3"""
+
+
+def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with _ for what is not ASCII, as word boundaries mean different things to the check there."""
+    return sentences(spark, sf_dir).withColumn("s", F.regexp_replace("s", "[^\\x00-\\x7F]", "_"))
+
+
+@query(f"SELECT n, content, memory_type, round(confidence, 6) AS confidence FROM ({MEMORIES_SQL})")
+def typed_memories(spark, sf_dir):
+    return plain_texts(spark, sf_dir).select("n", F.inline(artifacts.memories(F.col("s")))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""WITH {_PLAIN_SQL}, {DIALECT_SQL}, d AS (SELECT n, s, lower(s) AS l, CASE WHEN length(replace(s, chr(10), ' ')) > 180 THEN substr(replace(s, chr(10), ' '), 1, 177) || '...' ELSE replace(s, chr(10), ' ') END AS summary,
+  translate(coalesce({', '.join(f"nullif(regexp_extract(s, '{p}', 1), '')" for p in vocab.CONTENT_DATES)}), '/_.', '---') AS date, list_slice(list_sort(list_distinct(regexp_extract_all(s, '{vocab.ANCHOR}', 1))), 1, 10) AS terms FROM texts),
+memory AS ({MEMORIES_SQL}), firsts AS (SELECT n, memory_type, content, min(place) AS place FROM memory GROUP BY n, memory_type, content),
+a AS (SELECT n, 1 AS part, generate_subscripts(terms, 1) AS i, 'anchors' AS room, 'anchor_doc' AS drawer_type, 'ANCHOR ' || unnest(terms) || chr(10) || summary AS content, 5.0 AS importance, 5.0 AS weight FROM d
+  UNION ALL SELECT n, 2, 1, 'preferences', 'preference_bridge', 'PREFERENCE BRIDGE' || chr(10) || summary, 7.0, 7.0 FROM d WHERE {any_of('l', ['prefer', 'always', 'never'])}
+  UNION ALL SELECT n, 3, 1, 'decisions', 'decision_bridge', 'DECISION BRIDGE' || chr(10) || summary, 8.0, 8.0 FROM d WHERE {any_of('l', ['decided', 'chose', 'switched', 'because'])}
+  UNION ALL SELECT d.n, 4, 1, 'architecture', 'compressed', '?|architecture|' || coalesce(date, '?') || '|notes' || chr(10) || body, 7.5, 7.0 FROM d JOIN body ON body.n = d.n
+  UNION ALL SELECT n, 5, place, memory_type, 'derived_memory', content, 6.0, 6.0 FROM firsts)
+SELECT n, row_number() OVER (PARTITION BY n ORDER BY part, i) - 1 AS place, room, CASE WHEN drawer_type = 'preference_bridge' OR contains(room, 'preference') THEN 'hall_preferences' WHEN drawer_type = 'decision_bridge' OR contains(room, 'decision') THEN 'hall_facts'
+  WHEN drawer_type = 'anchor_doc' THEN 'hall_facts' WHEN {any_of('lower(content)', ['learned', 'realized', 'insight'])} THEN 'hall_discoveries' WHEN {any_of('lower(content)', ['problem', 'failed', 'resolved'])} THEN 'hall_events' ELSE 'hall_facts' END AS hall,
+  drawer_type, content, CAST(importance AS DOUBLE) AS importance, CAST(weight AS DOUBLE) AS weight FROM a""")
+def derived_artifacts(spark, sf_dir):
+    rows = plain_texts(spark, sf_dir)
+    made = artifacts.expand(rows, artifacts.of_text(F.col("s"), F.lit("architecture"), X.infer_date(F.col("s")), F.lit("a/notes.md"), chat=True))
+    return made.select("n", F.col("place").cast("long").alias("place"), "artifact.*")
+
+
 @query()
 def builtin_embedding(spark, sf_dir):
     from stratum.functions.embed import embed_column
