@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from stratum.functions import text as X
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Distinct phrases of queries that are sent to the rows at a time.
-MOST_PHRASES = 100_000
+#: Queries that are sent to the rows at a time, and words whose phrases a task remembers.
+MOST_QUERIES, MOST_WORDS = 10_000, 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -67,75 +67,103 @@ class Phrases:
             if len(p) > 1:
                 self.several.setdefault(p[0], []).append((i, p))
 
-    def counts(self, words: list[str]) -> Counter:
-        out: Counter = Counter()
+        self._known: dict[str, tuple[int, ...]] = {}
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        """The phrases of one part that a word begins with."""
+        if (found := self._known.get(word)) is None:
+            if len(self._known) >= MOST_WORDS:
+                self._known.clear()
+            found = self._known[word] = tuple(i for n in self.sizes if n <= len(word) and (i := self.prefixes.get(word[:n])) is not None)
+        return found
+
+    def counts(self, words: list[str]) -> dict[int, int]:
+        """How often each phrase occurs, of those that do."""
+        out: dict[int, int] = {}
         for word, n in Counter(words).items():
-            for size in self.sizes:
-                if size > len(word):
-                    break
-                if (i := self.prefixes.get(word[:size])) is not None:
-                    out[i] += n
+            for i in self._of(word):
+                out[i] = out.get(i, 0) + n
         if self.several:
             for at, word in enumerate(words):
                 for i, p in self.several.get(word, ()):
                     end = at + len(p) - 1
                     if end < len(words) and words[at:end] == p[:-1] and words[end].startswith(p[-1]):
-                        out[i] += 1
+                        out[i] = out.get(i, 0) + 1
         return out
 
 
-def matches(drawers: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """id, dl (number of words), phrase (its number) and f (how often it occurs) for every active row and phrase in it;
-    a row of phrase -1 for every active row. ``phrases`` are a stated set that is sent to the rows."""
+def _active(drawers: DataFrame) -> DataFrame:
+    return drawers.where("active").select("id", folded(F.col("content")).alias("text"))
+
+
+def statistics(drawers: DataFrame, phrases: list[list[str]]) -> tuple[int, float, dict[int, int]]:
+    """The number of active rows, their mean number of words, and of each phrase the number of rows that have it.
+    Every batch of rows is counted where it is; what is gathered is a number for each phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Phrases(phrases)
         for batch in batches:
-            at, sizes, numbers, often = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            n, total = Counter(), 0
+            for text in batch.column(1).to_pylist():
                 found = WORD.findall(text or "")
-                for phrase, f in ((-1, 0), *own.counts(found).items()):
-                    at.append(i)
-                    sizes.append(len(found))
-                    numbers.append(phrase)
-                    often.append(f)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), pa.array(often, pa.int32())], ["id", "dl", "phrase", "f"])
+                total += len(found)
+                n.update(own.counts(found).keys())
+            n[-1] = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([total if i < 0 else 0 for i in n], pa.int64())], ["phrase", "n", "words"])
 
-    rows = drawers.where("active").select("id", folded(F.col("content")).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(drawers.dtypes)['id']}, dl int, phrase int, f int")
+    sums = _active(drawers).mapInArrow(run, "phrase int, n long, words long").groupBy("phrase").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
+    rows = {r.phrase: r for r in sums}
+    n_rows = rows[-1].n if -1 in rows else 0
+    return n_rows, rows[-1].words / n_rows if n_rows else 1.0, {i: r.n for i, r in rows.items() if i >= 0}
 
 
 def search(drawers: DataFrame, queries: DataFrame, k: int, wing: str | None = None, room: str | None = None) -> DataFrame:
     """qid, id, bm25 (negative, least first), lexical_rank (from 1) of the best k rows for each query (qid, query).
 
-    The rows are scanned twice: for the statistics, of which a number per phrase comes to the driver, and for the
-    scores. Only words that a query asks for leave the scan. Queries are a stated set, taken in blocks of phrases."""
-    spark = drawers.sparkSession
-    phrases = query_phrases(queries)
-    need = phrases.groupBy("qid").agg(F.count("*").alias("need"))
-    known = [r.parts for r in phrases.select("parts").distinct().collect()]
-    out = None
-    for at in range(0, max(1, len(known)), MOST_PHRASES):
-        block = known[at : at + MOST_PHRASES]
-        found = matches(drawers, block)
-        sums = {r.phrase: r for r in found.groupBy("phrase").agg(F.count("*").alias("n"), F.avg("dl").alias("dl")).collect()}
-        n_rows, mean = (sums[-1].n, sums[-1].dl) if -1 in sums else (0, 1.0)
-        weights = []
-        for i, parts in enumerate(block):
-            if i in sums:
-                idf = math.log((n_rows - sums[i].n + 0.5) / (sums[i].n + 0.5))
-                weights.append((i, parts, idf if idf > 0 else LEAST_IDF))
-        asked = phrases.join(F.broadcast(spark.createDataFrame(weights, "phrase int, parts array<string>, idf double")), "parts").select("qid", "phrase", "idf")
-        part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-        own = found.where("phrase >= 0").join(asked, "phrase").select("qid", "id", part.alias("part"))
-        out = own if out is None else out.union(own)
-    scored = out.groupBy("qid", "id").agg((-F.sum("part")).alias("bm25"), F.count("*").alias("matched")).join(need, "qid").where("matched = need")
+    Queries are a stated set that is sent to the rows, in blocks. The rows are scanned twice for a block: for the statistics,
+    and for the scores of those that have all phrases of a query, for which its rarest phrase is looked up first."""
+    asked = query_phrases(queries).groupBy("qid").agg(F.collect_list("parts").alias("phrases"))
+    schema = f"qid {dict(queries.dtypes)['qid']}, id {dict(drawers.dtypes)['id']}, bm25 double"
+    table, out = asked.toArrow(), None
+    for at in range(0, max(1, table.num_rows), MOST_QUERIES):
+        ids, lists = table.column(0).combine_chunks().slice(at, MOST_QUERIES), table.column(1).to_pylist()[at : at + MOST_QUERIES]
+        number: dict[tuple[str, ...], int] = {}
+        wanted = [sorted({number.setdefault(tuple(p), len(number)) for p in own}) for own in lists]
+        phrases = [list(p) for p in number]
+        n_rows, mean, df = statistics(drawers, phrases)
+        idf = {i: max(math.log((n_rows - n + 0.5) / (n + 0.5)), 0.0) or LEAST_IDF for i, n in df.items()}
+        by_rarest: dict[int, list[tuple[int, list[int]]]] = {}
+        for q, own in enumerate(wanted):
+            if all(i in df for i in own):
+                by_rarest.setdefault(min(own, key=lambda i: (df[i], i)), []).append((q, own))
+        found = _active(drawers).mapInArrow(_scores(phrases, ids, by_rarest, idf, mean), schema)
+        out = found if out is None else out.union(found)
     if wing is not None or room is not None:
         from stratum.operators.drawers import scoped
 
-        scored = scored.join(scoped(drawers, wing, room).select("id"), "id", "left_semi")
+        out = out.join(scoped(drawers, wing, room).select("id"), "id", "left_semi")
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("bm25", 9), "id"))
-    return scored.select("qid", "id", "bm25", order.alias("lexical_rank")).where(F.col("lexical_rank") <= k)
+    return out.select("qid", "id", "bm25", order.alias("lexical_rank")).where(F.col("lexical_rank") <= k)
+
+
+def _scores(phrases: list[list[str]], ids: pa.Array, by_rarest: dict, idf: dict[int, float], mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Phrases(phrases)
+        for batch in batches:
+            queries, rows, scores = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = WORD.findall(text or "")
+                f = own.counts(words)
+                length = K1 * (1 - B + B * len(words) / mean) if mean else K1
+                for rarest in f.keys() & by_rarest.keys():
+                    for q, wanted in by_rarest[rarest]:
+                        if all(p in f for p in wanted):
+                            queries.append(q)
+                            rows.append(i)
+                            scores.append(-sum(idf[p] * f[p] * (K1 + 1) / (f[p] + length) for p in wanted))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(queries, pa.int64())), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(scores, pa.float64())], ["qid", "id", "bm25"])
+
+    return run
 
 
 def lexical_score(bm25: Column) -> Column:

@@ -152,10 +152,12 @@ def test_phrases_and_prefixes(spark):
     rows = [("a", "the snake-cased names", True), ("b", "snakes and cases", True), ("c", "snake case, snake cased", True), ("d", "snake", False)]
     phrases = lexical.query_phrases(spark.createDataFrame([(1, "snake-case"), (2, "cas"), (3, "?")], "qid long, query string"))
     own = [r.parts for r in phrases.collect()]
-    found = lexical.matches(spark.createDataFrame(rows, "id string, content string, active boolean"), own).collect()
-    got = {(tuple(own[r.phrase]), r.id): r.f for r in found if r.phrase >= 0}
+    drawers = spark.createDataFrame(rows, "id string, content string, active boolean")
+    found = {r.id: lexical.Phrases(own).counts(lexical.WORD.findall(r.text)) for r in lexical._active(drawers).collect()}
+    got = {(tuple(own[i]), id_): f for id_, counts in found.items() for i, f in counts.items()}
     assert got == {(("snake", "case"), "a"): 1, (("snake", "case"), "c"): 2, (("cas",), "a"): 1, (("cas",), "b"): 1, (("cas",), "c"): 2}
-    assert {r.id: r.dl for r in found if r.phrase < 0} == {"a": 4, "b": 3, "c": 4}
+    n, mean, df = lexical.statistics(drawers, own)
+    assert (n, round(mean, 6), {tuple(own[i]): x for i, x in df.items()}) == (3, round(11 / 3, 6), {("snake", "case"): 2, ("cas",): 3})
 
 
 def test_scan_has_the_scores_of_the_expressions(spark):
