@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm import kernel
 from stratum.llm.kernel import U
-from stratum.llm.shared import drop, longs, materialize, release, small_batches, table, text_slices
+from stratum.llm.shared import longs, materialize, release, small_batches, table, text_slices
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 BLOCK_TOKENS = 1_000_000
@@ -161,6 +161,8 @@ def _ask(parts: int):
     return run
 
 
+CELLS = pa.schema([(c, pa.int64()) for c in ("bucket", "r2", "r1", "n")])
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 ANSWER = "block long, kind int, part int, kept binary, tuning binary, n_kept long, n_tuning long, v_kept long, v_all long"
 
 
@@ -184,30 +186,14 @@ def _answer(group: pa.Table) -> pa.Table:
     })
 
 
-OTHERS = [f"{c}{kind}" for kind in (0, 1) for c in ("kept", "tuning")]
-ANSWERED = f"{BLOCK}, {', '.join(f'{c} binary' for c in OTHERS)}"
-
-
-def _join(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    """Each block with the answers to it, in the order of its keys."""
+def _counts(answers: pa.Table, block: Block) -> dict[tuple[int, str], np.ndarray]:
+    """Counts of all documents, of the block's words (0) and bigrams (1): its own and what the answers add."""
     rows = sorted(answers.select(["kind", "part", "kept", "tuning"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
-    whole = lambda kind, c: np.concatenate([np.zeros(0, "<u4"), *(unpack(r[c], "<u4") for r in rows if r["kind"] == kind)])
-    for kind in (0, 1):
-        for c in ("kept", "tuning"):
-            blocks = blocks.append_column(f"{c}{kind}", pa.array([pack(whole(kind, c))] * blocks.num_rows, pa.binary()))
-    return blocks
-
-
-def _counts(row: dict, block: Block) -> dict[tuple[int, str], np.ndarray]:
-    """Counts of all documents, of the block's words (0) and bigrams (1)."""
-    own = {(kind, c): x for kind, (_, *two) in enumerate(block.asked()) for c, x in zip(("kept", "tuning"), two, strict=True)}
-    return {(kind, c): x + unpack(row[f"{c}{kind}"], "<u4").astype(np.int64) for (kind, c), x in own.items()}
-
-
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+    out = {}
+    for kind, (_, *own) in enumerate(block.asked()):
+        for c, x in zip(("kept", "tuning"), own, strict=True):
+            out[kind, c] = x + np.concatenate([np.zeros(0, "<u4"), *(unpack(r[c], "<u4") for r in rows if r["kind"] == kind)]).astype(np.int64)
+    return out
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -217,10 +203,11 @@ def bucket(context: np.ndarray) -> np.ndarray:
 def _tune(totals: dict):
     """The histogram of the tuning tokens over bucket and both ratios to the uniform probability."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _blocks_of(batches):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for row in blocks.to_pylist():
             b = Block(row)
-            c = _counts(row, b)
+            c = _counts(answers, b)
             context = np.append(c[0, "kept"], totals["docs_kept"])[b.v]
             seen = np.bincount(b.bigram_of[b.tuning], minlength=len(b.bigrams))
             at = np.flatnonzero(seen)
@@ -231,7 +218,8 @@ def _tune(totals: dict):
             code = np.stack([bucket(context[at]), *(np.where(np.isfinite(r), np.round(np.nan_to_num(r, neginf=0) * BINS), NONE) for r in (r2, r1))]).astype(np.int64)
             cells, inverse = np.unique(code, axis=1, return_inverse=True)
             n = np.bincount(inverse.reshape(-1), weights=seen[at], minlength=cells.shape[1]).astype(np.int64)
-            yield table(bucket=cells[0], r2=cells[1], r1=cells[2], n=n)
+            out.append(table(bucket=cells[0], r2=cells[1], r1=cells[2], n=n))
+        return pa.Table.from_batches(out, CELLS)
 
     return run
 
@@ -256,21 +244,22 @@ def learn(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 
 def _score(totals: dict, weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = totals["n_kept"] + totals["n_tuning"], totals["v_all"]
-        for row in _blocks_of(batches):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        n, v, out = totals["n_kept"] + totals["n_tuning"], totals["v_all"], []
+        for row in blocks.to_pylist():
             b = Block(row)
-            c = _counts(row, b)
+            c = _counts(answers, b)
             words, pairs = c[0, "kept"] + c[0, "tuning"], c[1, "kept"] + c[1, "tuning"]
             context = np.append(words, totals["docs"])[b.v]
             a = weights[bucket(context)]
             p = a[:, 0] * pairs / np.maximum(context, 1) + a[:, 1] * words[b.w] / max(n, 1) + a[:, 2] / (v + 1)
             base = np.log10((words + 1) / (n + (v + 1)))
             add = lambda x: np.add.reduceat(x, b.starts)  # noqa: B023, E731
-            yield table(
-                doc_id=pa.array(b.docs, pa.int64()), held_out=b.fold[:] == HELD_OUT, n_tokens=b.n, n_known=add((words > 0)[b.ids].astype(np.int64)),
+            out.append(table(
+                doc_id=pa.array(b.docs, pa.int64()), held_out=b.fold == HELD_OUT, n_tokens=b.n, n_known=add((words > 0)[b.ids].astype(np.int64)),
                 train_tokens=np.full(len(b.docs), n, np.int64), base_score=add(base[b.ids]), score=add(np.log10(p)[b.bigram_of]),
-            )
+            ))
+        return pa.Table.from_batches(out, SCORES)
 
     return run
 
@@ -294,9 +283,8 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         "docs": sum(r[1] for r in folds if r[0] != HELD_OUT), "docs_kept": sum(r[1] for r in folds if r[0] not in (HELD_OUT, TUNING)),
     }
     replies = answers.where("block is not null").select("block", "kind", "part", "kept", "tuning")
-    answered = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_join, ANSWERED), "answered")
-    drop(blocks)
-    drop(answers)
-    cells = answered.mapInArrow(_tune(totals), "bucket long, r2 long, r1 long, n long").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
-    weights = learn(np.array([tuple(r) for r in cells.collect()], np.int64).reshape(-1, 4))  # bounded by its bins
-    return answered.mapInArrow(_score(totals, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = lambda f, schema: blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(f, schema)
+    cells = both(_tune(totals), "bucket long, r2 long, r1 long, n long").groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
+    cells = np.array([tuple(r) for r in materialize(cells, "cells").collect()], np.int64).reshape(-1, 4)  # bounded by its bins
+    release(spark)
+    return both(_score(totals, learn(cells)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

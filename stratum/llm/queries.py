@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from stratum.llm import decontam, jaccard_join, langid, licenses, lm_score, packing, pii, quality_rules, substring_dedup, warc_store
 from stratum.llm.oracle import ORACLE  # noqa: F401
+from stratum.llm.shared import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

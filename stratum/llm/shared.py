@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, dealt out over all of them; large tables are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stratum-{name}-{uuid.uuid4().hex}"
 
@@ -58,9 +65,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nothing refers to any more. The JVM learns a
+    little after Python's own collection what Python no longer holds, so it collects twice."""
+    for pause in (0.3, 0.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def drop(df: DataFrame) -> None:
