@@ -87,7 +87,7 @@ def _signatures(k: int):
     return run
 
 
-def _local_counts(k: int, flush: int = 4_000_000):
+def _local_counts(k: int, flush: int = 2_000_000):
     """Shingles that a task meets twice or more, with their counts."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:

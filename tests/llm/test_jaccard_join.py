@@ -5,6 +5,7 @@ import pytest
 from stratum.llm import jaccard_join
 from stratum.llm.components import components
 from tests.llm.data import AWKWARD, documents, prose, words
+from tests.llm.test_substring_dedup import thue_morse
 
 
 def shingles(text):
@@ -136,3 +137,9 @@ def test_components_in_several_tasks(spark):
     for size in (50, 1_000_000):
         got = components(spark.createDataFrame(links, "a long, b long"), task_links=size)
         assert {r.node: r.component for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_long_words_of_like_form(spark):
+    x, y = thue_morse(11)
+    rows = [(1, f"a b {x} c d e"), (2, f"a b {y} c d e"), (3, f"a b {y} c d e")]
+    assert sorted(tuple(r) for r in jaccard_join.similar_documents(documents(spark, rows)).collect()) == brute(rows) == [(1, 2, 1), (2, 2, 2), (3, 2, 2)]
