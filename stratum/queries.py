@@ -686,12 +686,6 @@ def file_chunks(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk_text("text")).alias("chunk_index", "content"))
 
 
-@query()
-def chat_chunks(spark, sf_dir):
-    made = chats.transcripts(read(spark, sf_dir, "conversations"), ["conv_id"])
-    return made.select("conv_id", F.posexplode(exchanges_of(F.col("transcript"))).alias("chunk_index", "content"))
-
-
 # ---- lines, segments and memories ----------------------------------------------------------------
 
 _TRIM = "trim({}, E' \\t\\n\\r')"
@@ -895,6 +889,23 @@ def derived_artifacts(spark, sf_dir):
     return made.select("n", F.col("place").cast("long").alias("place"), "artifact.*")
 
 
+@query(f"""WITH texts AS (SELECT conv_id AS n, transcript AS s FROM ({ORACLE['transcript_render']})), {OWN_LINES_SQL},
+quoted AS (SELECT n, i, {_TRIM.format('x')} AS t, starts_with({_TRIM.format('x')}, '>') AS q FROM line), g AS (SELECT *, sum(CAST(q AS INT)) OVER (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING) AS g, sum(CAST(q AS INT)) OVER (PARTITION BY n) AS total FROM quoted),
+stopped AS (SELECT *, sum(CAST(NOT q AND starts_with(t, '---') AS INT)) OVER (PARTITION BY n, g ORDER BY i ROWS UNBOUNDED PRECEDING) AS stops FROM g WHERE total >= 3 AND g > 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY n, g ORDER BY i) AS place FROM stopped WHERE NOT q AND stops = 0 AND t <> ''),
+reply AS (SELECT n, g, string_agg(t, ' ' ORDER BY i) AS reply FROM numbered WHERE place <= 8 GROUP BY n, g),
+by_quote AS (SELECT o.n, o.g AS k, o.t || coalesce(chr(10) || reply, '') AS c FROM stopped o LEFT JOIN reply ON reply.n = o.n AND reply.g = o.g WHERE o.q),
+par AS (SELECT n, k, {_TRIM.format('p')} AS c FROM (SELECT n, unnest(string_split(s, chr(10) || chr(10))) AS p, generate_subscripts(string_split(s, chr(10) || chr(10)), 1) AS k FROM own_lines) WHERE {_TRIM.format('p')} <> ''),
+grp AS (SELECT n, (i - 1) // 25 AS k, string_agg(x, chr(10) ORDER BY i) AS c FROM line GROUP BY n, (i - 1) // 25),
+size AS (SELECT o.n, len(own) AS n_lines, (SELECT count(*) FROM par WHERE par.n = o.n) AS n_par, (SELECT max(total) FROM g WHERE g.n = o.n) AS total FROM own_lines o),
+every AS (SELECT * FROM by_quote UNION ALL SELECT par.* FROM par JOIN size ON size.n = par.n WHERE coalesce(total, 0) < 3 AND NOT (n_par <= 1 AND n_lines > 20)
+  UNION ALL SELECT grp.* FROM grp JOIN size ON size.n = grp.n WHERE coalesce(total, 0) < 3 AND n_par <= 1 AND n_lines > 20)
+SELECT n AS conv_id, row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS chunk_index, c AS content FROM every WHERE octet_length(encode({_TRIM.format('c')})) > 30""")
+def chat_chunks(spark, sf_dir):
+    made = chats.transcripts(read(spark, sf_dir, "conversations"), ["conv_id"])
+    return made.select("conv_id", F.posexplode(exchanges_of(F.col("transcript"))).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
 @query()
 def builtin_embedding(spark, sf_dir):
     from stratum.functions.embed import embed_column
