@@ -23,24 +23,29 @@ STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "ici
 STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
 
 
+SPECIAL, Y_FIRST, VOWEL_IN = re.compile("gener|commun|arsen"), re.compile(f"(^|[{VOWEL}])y"), re.compile(f"[{VOWEL}]")
+VOWEL_THEN, SHORT = re.compile(f"[{VOWEL}][^{VOWEL}]"), re.compile(f"(^[{VOWEL}][^{VOWEL}]|[^{VOWEL}][{VOWEL}][^{VOWEL}wxY])$")
+PLURALS, PASTS, SECOND, THIRD = ("sses", "ied", "ies", "s", "us", "ss"), ("eed", "eedly", "ed", "edly", "ing", "ingly"), tuple(STEP_2), tuple(STEP_3)
+
+
 def _regions(word: str) -> tuple[int, int]:
-    m = re.match("gener|commun|arsen", word)
+    m = SPECIAL.match(word)
     r1 = m.end() if m else _after(word, 0)
     return r1, _after(word, r1)
 
 
 def _after(word: str, at: int) -> int:
     """Behind the first consonant that follows a vowel."""
-    m = re.compile(f"[{VOWEL}][^{VOWEL}]").search(word, at)
+    m = VOWEL_THEN.search(word, at)
     return m.end() if m else len(word)
 
 
 def _ends_short(word: str) -> bool:
-    return bool(re.search(f"(^[{VOWEL}][^{VOWEL}]|[^{VOWEL}][{VOWEL}][^{VOWEL}wxY])$", word))
+    return bool(SHORT.search(word))
 
 
-def _longest(word: str, suffixes) -> str | None:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
+def _longest(word: str, suffixes: tuple[str, ...]) -> str | None:
+    return max((s for s in suffixes if word.endswith(s)), key=len) if word.endswith(suffixes) else None
 
 
 @lru_cache(maxsize=100_000)
@@ -50,26 +55,26 @@ def stem(word: str) -> str:
     if word in EXCEPTIONS:
         return EXCEPTIONS[word]
     w = word.removeprefix("'")
-    w = re.sub(f"(^|[{VOWEL}])y", r"\1Y", w)
+    w = Y_FIRST.sub(r"\1Y", w) if "y" in w else w
     r1, r2 = _regions(w)
     for s in ("'s'", "'s", "'"):
         if w.endswith(s):
             w = w[: -len(s)]
             break
-    s = _longest(w, ("sses", "ied", "ies", "s", "us", "ss"))
+    s = _longest(w, PLURALS)
     if s == "sses":
         w = w[:-2]
     elif s in ("ied", "ies"):
         w = w[:-2] if len(w) > 4 else w[:-1]
-    elif s == "s" and re.search(f"[{VOWEL}]", w[:-2]):
+    elif s == "s" and VOWEL_IN.search(w[:-2]):
         w = w[:-1]
     if w in AFTER_1A:
         return w
-    s = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    s = _longest(w, PASTS)
     if s in ("eed", "eedly"):
         if len(w) - len(s) >= r1:
             w = w[: -len(s)] + "ee"
-    elif s and re.search(f"[{VOWEL}]", w[: -len(s)]):
+    elif s and VOWEL_IN.search(w[: -len(s)]):
         w = w[: -len(s)]
         if w.endswith(("at", "bl", "iz")):
             w += "e"
@@ -79,7 +84,7 @@ def stem(word: str) -> str:
             w += "e"
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in VOWEL:
         w = w[:-1] + "i"
-    s = _longest(w, STEP_2)
+    s = _longest(w, SECOND)
     if s and len(w) - len(s) >= r1:
         if s == "ogi":
             w = w[:-1] if w.endswith("logi") else w
@@ -87,7 +92,7 @@ def stem(word: str) -> str:
             w = w[:-2] if len(w) > 2 and w[-3] in LI_ENDING else w
         else:
             w = w[: -len(s)] + STEP_2[s]
-    s = _longest(w, STEP_3)
+    s = _longest(w, THIRD)
     if s and len(w) - len(s) >= r1 and (s != "ative" or len(w) - len(s) >= r2):
         w = w[: -len(s)] + STEP_3[s]
     s = _longest(w, STEP_4)

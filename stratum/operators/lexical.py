@@ -92,8 +92,17 @@ class Phrases:
         return out
 
 
+ACCENTS = str.maketrans(*_accents())
+
+
+def words_in(text: str | None) -> list[str]:
+    """The words of a lower-case text, folded. (Folding changes letters into letters, so it changes no word's bounds.)"""
+    found = WORD.findall(text or "")
+    return found if not text or text.isascii() else [w if w.isascii() else w.translate(ACCENTS) for w in found]
+
+
 def _active(drawers: DataFrame) -> DataFrame:
-    return drawers.where("active").select("id", folded(F.col("content")).alias("text"))
+    return drawers.where("active").select("id", F.lower("content").alias("text"))
 
 
 def statistics(drawers: DataFrame, phrases: list[list[str]]) -> tuple[int, float, dict[int, int]]:
@@ -105,7 +114,7 @@ def statistics(drawers: DataFrame, phrases: list[list[str]]) -> tuple[int, float
         for batch in batches:
             n, total = Counter(), 0
             for text in batch.column(1).to_pylist():
-                found = WORD.findall(text or "")
+                found = words_in(text)
                 total += len(found)
                 n.update(own.counts(found).keys())
             n[-1] = batch.num_rows
@@ -152,7 +161,7 @@ def _scores(phrases: list[list[str]], ids: pa.Array, by_rarest: dict, idf: dict[
         for batch in batches:
             queries, rows, scores = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                words = WORD.findall(text or "")
+                words = words_in(text)
                 f = own.counts(words)
                 length = K1 * (1 - B + B * len(words) / mean) if mean else K1
                 for rarest in f.keys() & by_rarest.keys():

@@ -153,13 +153,20 @@ def test_phrases_and_prefixes(spark):
     phrases = lexical.query_phrases(spark.createDataFrame([(1, "snake-case"), (2, "cas"), (3, "?")], "qid long, query string"))
     own = [r.parts for r in phrases.collect()]
     drawers = spark.createDataFrame(rows, "id string, content string, active boolean")
-    found = {r.id: lexical.Phrases(own).counts(lexical.WORD.findall(r.text)) for r in lexical._active(drawers).collect()}
+    found = {r.id: lexical.Phrases(own).counts(lexical.words_in(r.text)) for r in lexical._active(drawers).collect()}
     got = {(tuple(own[i]), id_): f for id_, counts in found.items() for i, f in counts.items()}
     assert got == {(("snake", "case"), "a"): 1, (("snake", "case"), "c"): 2, (("cas",), "a"): 1, (("cas",), "b"): 1, (("cas",), "c"): 2}
     n, mean, df = lexical.statistics(drawers, own)
     assert (n, round(mean, 6), {tuple(own[i]): x for i, x in df.items()}) == (3, round(11 / 3, 6), {("snake", "case"): 2, ("cas",): 3})
 
 
+def test_folded_words_are_those_of_the_expression(spark):
+    texts = ["Réseau ÜBER straße naïve_x ñ-Ñ", "plain Words 12", "", "ŁÓDŹ œuvre 漢字かな ₂ ½"]
+    df = spark.createDataFrame([(t,) for t in texts], ["t"]).select(F.lower("t").alias("low"), lexical.words(F.col("t")).alias("w"))
+    for r in df.collect():
+        assert lexical.words_in(r.low) == r.w
+
+
 def test_scan_has_the_scores_of_the_expressions(spark):
     """The kernel's cosine and heuristic against the column expressions, over every pair."""
     from stratum.operators import semantic
