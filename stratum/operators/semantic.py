@@ -21,8 +21,8 @@ LEXICAL_RANK, SEMANTIC_RANK = 0.8, 1.0
 SEMANTIC, LEXICAL, HEURISTIC, DERIVED, RESOLVED = 0.45, 0.30, 0.25, 0.10, 0.6
 SEMANTIC_ORDER = (0.75, 0.25)
 MOST_QUERIES = 10_000
-#: Rows that a task scores at a time, for a few megabytes of pairs.
-ROWS = 256
+#: Pairs and rows that a task scores at a time.
+PAIRS, MOST_ROWS = 1_000_000, 4096
 TINY = 1.1920929e-7
 
 
@@ -99,18 +99,20 @@ def _score(asked: Asked, k: int | None, weights: tuple[float, float] | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            step = min(max(PAIRS // max(len(asked.ids), 1), 16), MOST_ROWS)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 score, paired = asked.cosines(batch.column(1))
                 heuristic = asked.heuristics([t or "" for t in batch.column(2).to_pylist()]) if weights else np.zeros_like(score)
-                if k is not None:
+                if k is not None and batch.num_rows > k:
                     order = np.round(score if weights is None else weights[0] * score + weights[1] * heuristic, 9)
+                    order = np.where(paired, order, -np.inf)
+                    least = np.partition(order, batch.num_rows - k, axis=0)[batch.num_rows - k]  # each query's k-th best
+                    paired &= order >= least
                     place = np.empty(batch.num_rows, np.int64)  # of the ids in order, for ties
                     place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
-                    order = np.where(paired, order, -np.inf)
-                    for q in range(score.shape[1]):
-                        if batch.num_rows > k:
-                            paired[np.lexsort((place, -order[:, q]))[k:], q] = False
+                    for q in np.flatnonzero(paired.sum(axis=0) > k):
+                        paired[np.lexsort((place, -order[:, q]))[k:], q] = False
                 row, query = np.nonzero(paired)
                 yield pa.RecordBatch.from_arrays(
                     [asked.ids.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(score[row, query]), pa.array(heuristic[row, query])], ["qid", "id", "semantic_score", "heuristic_score"]
