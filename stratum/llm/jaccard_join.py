@@ -88,23 +88,29 @@ def _signatures(k: int):
 
 
 def _local_counts(k: int, flush: int = 4_000_000):
-    """Shingles that a task meets twice or more, with their counts."""
+    """Shingles that a task meets twice or more, with their counts. A lot of them is one array,
+    sorted in place, so that a worker holds little more than the lot itself."""
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        return table(token=tokens[n > 1].view(np.int64), n=n[n > 1])
+    def counted(lot: np.ndarray) -> pa.RecordBatch:
+        lot.sort()
+        same = np.zeros(len(lot) + 1, bool)  # as the one before
+        np.equal(lot[1:], lot[:-1], out=same[1:-1])
+        first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+        return table(token=lot[first].view(np.int64), n=last - first + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        lot, size = np.empty(flush + flush // 16, np.uint64), 0
         for _, data, at in text_slices(batches, "text"):
             for x in sets(data, at, k):
-                held.append(x)
+                if size + len(x) > len(lot):
+                    lot = np.concatenate([lot[:size], np.empty(len(x) + flush // 16, np.uint64)])
+                lot[size : size + len(x)] = x
                 size += len(x)
             if size >= flush:
-                yield counted(held)
-                held, size = [], 0
-        if held:
-            yield counted(held)
+                yield counted(lot[:size])
+                size = 0
+        if size:
+            yield counted(lot[:size])
 
     return run
 

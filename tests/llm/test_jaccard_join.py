@@ -143,3 +143,39 @@ def test_long_words_of_like_form(spark):
     x, y = thue_morse(11)
     rows = [(1, f"a b {x} c d e"), (2, f"a b {y} c d e"), (3, f"a b {y} c d e")]
     assert sorted(tuple(r) for r in jaccard_join.similar_documents(documents(spark, rows)).collect()) == brute(rows) == [(1, 2, 1), (2, 2, 2), (3, 2, 2)]
+
+
+@pytest.mark.parametrize("flush", [1, 700, 200_000])
+def test_counts_in_lots_hold_little_more_than_a_lot(flush):
+    import tracemalloc
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    n = 400 if flush < 1000 else 30_000
+    texts = [*(f"w{rng.randrange(40)} w{rng.randrange(40)} c d e f" for _ in range(n)), "", None, "a b", " ".join(f"x{i}" for i in range(3000))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 300])], ["text"]) for i in range(0, len(texts), 300)]
+    if flush > 1000:  # different shingles nearly all, as most are
+        words = (pa.array([" ".join(f"y{i}_{j}" for j in range(504))]) for i in range(800))
+        batches += [pa.RecordBatch.from_arrays([w], ["text"]) for w in words]
+    run = jaccard_join._local_counts(5, flush)
+    list(run(iter(batches[:1])))  # what is kept for later calls is in place
+    tracemalloc.start()
+    lots = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in run(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, found, open_ = Counter(), Counter(), Counter()
+    for at, batch in enumerate(batches):  # each batch is one slice
+        data = [(t or "").encode() for t in batch.column(0).to_pylist()]
+        for x in jaccard_join.sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 5):
+            open_.update(x.view(np.int64).tolist())
+        if open_.total() >= flush or at == len(batches) - 1:
+            want.update({t: c for t, c in open_.items() if c > 1})
+            open_.clear()
+    for tokens, counts in lots:
+        assert (np.diff(tokens.view(np.uint64)) > 0).all() and (counts > 1).all()
+        found.update(dict(zip(tokens.tolist(), counts.tolist(), strict=True)))
+    assert found == want and found
+    assert flush < 1000 or peak < 3 * 8 * flush
