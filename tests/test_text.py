@@ -148,6 +148,29 @@ def test_snippets(spark):
     assert one(spark, lexical.snippet(F.lit("Réseau ouvert"), F.lit("reseau"))) == "[Réseau] ouvert"
 
 
+def test_snippets_are_those_of_tokens_one_by_one(spark):
+    """The kernel, which reads up to the first match, against every token folded and compared."""
+    texts = ["", " ", "  the", "other (the) x", "foo-the the", "İİ Ândré the", "a\nthe\r\nend ", "_the", "..., of,the", "no match " * 12, "x " * 30 + "OFten " + "and  so " * 20, "ὈΔΟΣ the", "\tand b", "--- the"]
+    queries = ["the and of", "_the --", "", None, "and-so İ x"]
+
+    def want(text, query):
+        tokens, words = re.split(" +", text.replace("\n", " ")), [w.lower() for w in re.findall("[A-Za-z0-9_-]{2,}", query or "")]
+        hit = lambda t: any(re.sub(r"^[\W_]+", "", t.lower().translate(lexical.ACCENTS)).startswith(w) for w in words)
+        start = next((i for i, t in enumerate(tokens) if hit(t)), 0)
+        return (" … " if start else "") + " ".join(f"[{t}]" if hit(t) else t for t in tokens[start : start + 20]) + (" … " if start + 20 < len(tokens) else "")
+
+    df = spark.createDataFrame([(t, q) for t in texts for q in queries] + [(None, "the")], "t string, q string")
+    for r in df.select("t", "q", lexical.snippet(F.col("t"), F.col("q")).alias("s")).collect():
+        assert r.s == (None if r.t is None else want(r.t, r.q)), (r.t, r.q)
+
+
+def test_a_snippet_reads_up_to_its_first_match(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lexical, "_hit", lambda t, wanted, own=lexical._hit: (seen.append(t), own(t, wanted))[1])
+    assert lexical.snippet_of("no " * 5000 + "the end " * 5000, "the").startswith(" … [the] end [the]")
+    assert len(seen) == 20  # and not each of the 15,000 tokens
+
+
 def test_phrases_and_prefixes(spark):
     rows = [("a", "the snake-cased names", True), ("b", "snakes and cases", True), ("c", "snake case, snake cased", True), ("d", "snake", False)]
     phrases = lexical.query_phrases(spark.createDataFrame([(1, "snake-case"), (2, "cas"), (3, "?")], "qid long, query string"))
