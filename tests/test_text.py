@@ -208,6 +208,22 @@ def test_scan_has_the_scores_of_the_expressions(spark):
     assert {(r.qid, r.id) for r in few} == {(r.qid, r.id) for r in best}
 
 
+def test_name_boosts_in_one_pass(spark):
+    """Every pair against the expression; names within words, repeated, with accents and marks; no join and no shuffle."""
+    from stratum.operators import semantic
+
+    texts = ["anna met Bert", "ANNABERT\nüBER", "x\tÜberAll Anna\u2003bert", "", None, "a" * 300 + "anna", "(Anna)", "ber ann"]
+    queries = ["Anna Bert Anna", "Über all", "nothing here", "", None, "(Anna) Xy Ber Annab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(queries)), "item_id long, query string")
+    found = semantic.name_boosts(docs, asked)
+    got = {(r.item_id, r.doc_id): round(r.boost, 9) for r in found.collect()}
+    both = asked.crossJoin(docs).select("item_id", "doc_id", X.name_boost(F.col("query"), F.col("text")).alias("boost"))
+    assert got == {(r.item_id, r.doc_id): round(r.boost, 9) for r in both.collect() if r.boost} and len(got) > 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_vocabularies_are_complete():
     sizes = [len(x) for x in (vocab.SKIP_DIRS, vocab.TEXT_EXTENSIONS, vocab.SKIP_FILES, vocab.CHAT_SKIP_DIRS, vocab.CHAT_EXTENSIONS, vocab.EMOTIONS, vocab.FLAGS, vocab.CUES, vocab.GENERIC_NAMES)]
     assert sizes == [12, 20, 6, 11, 4, 20, 20, 16, 12] and [len(v) for v in vocab.MARKERS.values()] == [9, 8, 14, 8, 17]
