@@ -224,6 +224,16 @@ def test_name_boosts_in_one_pass(spark):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_marker_counts_in_one_kernel(spark, monkeypatch):
+    """As every pattern searched through the whole text; patterns without a beginning in the text are not searched at all."""
+    texts = ["", "unfixed fixed FIXED", "we we always we never", "let's use it, lets use it, xlet's use it", "don't mock; dont ever use; don't like to do", "i feel sad, sadly i'm sorry; the fix is; broken bug_ bug"]
+    rows = spark.createDataFrame([(t,) for t in texts], ["t"]).select("t", X.marker_scores(F.col("t")).alias("m")).collect()
+    for r in rows:
+        assert r.m.asDict() == {k: sum(len(re.findall(p, r.t.lower())) for p in ps) for k, ps in vocab.MARKERS.items()}
+    monkeypatch.setattr(passages, "MARKERS", {"a": [(["x"], None)]})
+    assert passages.marker_counts("no such letter") == {"a": 0}
+
+
 def test_vocabularies_are_complete():
     sizes = [len(x) for x in (vocab.SKIP_DIRS, vocab.TEXT_EXTENSIONS, vocab.SKIP_FILES, vocab.CHAT_SKIP_DIRS, vocab.CHAT_EXTENSIONS, vocab.EMOTIONS, vocab.FLAGS, vocab.CUES, vocab.GENERIC_NAMES)]
     assert sizes == [12, 20, 6, 11, 4, 20, 20, 16, 12] and [len(v) for v in vocab.MARKERS.values()] == [9, 8, 14, 8, 17]
