@@ -234,6 +234,18 @@ def test_marker_counts_in_one_kernel(spark, monkeypatch):
     assert passages.marker_counts("no such letter") == {"a": 0}
 
 
+def test_topics_by_the_pattern(monkeypatch):
+    """As with a search for marks and inner capitals in every word, which is no longer made, nor are all words sorted."""
+    texts = ["", "Foo fooBar foo-bar FOO foo foo_ Barn barn baR", "the The and-the of zeta Zeta alpha_one alphaOne beta", "x-1 ab abc Abc aBc abC ABC"]
+    for text in texts:
+        scores: dict[str, int] = {}
+        for w in re.findall(vocab.TOPIC, text):
+            if w.lower() not in vocab.STOP_WORDS:
+                scores[w.lower()] = scores.get(w.lower(), 0) + 1 + 2 * w[0].isupper() + 2 * bool(re.search("[_-]|^.+[A-Z]", w))
+        assert passages.topics(text) == sorted(scores, key=lambda w: (-scores[w], w))[:3]
+    assert not hasattr(passages, "COMPOUND")
+
+
 def test_vocabularies_are_complete():
     sizes = [len(x) for x in (vocab.SKIP_DIRS, vocab.TEXT_EXTENSIONS, vocab.SKIP_FILES, vocab.CHAT_SKIP_DIRS, vocab.CHAT_EXTENSIONS, vocab.EMOTIONS, vocab.FLAGS, vocab.CUES, vocab.GENERIC_NAMES)]
     assert sizes == [12, 20, 6, 11, 4, 20, 20, 16, 12] and [len(v) for v in vocab.MARKERS.values()] == [9, 8, 14, 8, 17]
