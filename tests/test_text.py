@@ -183,6 +183,13 @@ def test_phrases_and_prefixes(spark):
     assert (n, round(mean, 6), {tuple(own[i]): x for i, x in df.items()}) == (3, round(11 / 3, 6), {("snake", "case"): 2, ("cas",): 3})
 
 
+def test_a_word_is_held_against_phrases_that_begin_alike():
+    """Only the lengths of phrases with its first letters are tried, whatever lengths others have."""
+    own = lexical.Phrases([["a"], ["ab"], ["abc"], ["abcdef"], ["xyz" * 9], ["abd"]])
+    assert [sorted(own._of(w)) for w in ("a", "ab", "abcde", "abcdefg", "b", "abd", "")] == [[0], [0, 1], [0, 1, 2], [0, 1, 2, 3], [], [0, 1, 5], []]
+    assert own.starts["abc"] == {3, 6} and own.starts["xyz"] == {27}
+
+
 def test_folded_words_are_those_of_the_expression(spark):
     texts = ["Réseau ÜBER straße naïve_x ñ-Ñ", "plain Words 12", "", "ŁÓDŹ œuvre 漢字かな ₂ ½"]
     df = spark.createDataFrame([(t,) for t in texts], ["t"]).select(F.lower("t").alias("low"), lexical.words(F.col("t")).alias("w"))
